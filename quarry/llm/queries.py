@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, exact_dedup, language_id, quality_model, quality_rules, token_count
+from quarry.llm import byte_bpe, exact_dedup, language_id, near_join, quality_model, quality_rules, token_count
 from quarry.llm.common import is_held_out
 
 
@@ -30,6 +30,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_quality_classifier, op7_exact_dedup, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
