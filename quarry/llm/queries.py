@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, exact_dedup, language_id, near_join, quality_model, quality_rules, token_count
+from quarry.llm import byte_bpe, exact_dedup, language_id, near_join, packing, quality_model, quality_rules, token_count
 from quarry.llm.common import is_held_out
 
 
@@ -43,11 +43,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op9_best_fit_packing, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
