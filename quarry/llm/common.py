@@ -50,6 +50,21 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: Up to this many ids go to every executor with a scan (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small_or_shuffled(ids: DataFrame) -> DataFrame:
+    """ids for the right side of a join with texts: broadcast if a count proves them few, else as they are."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is among ids(doc_id)."""
+    gone = spool(ids.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small_or_shuffled(gone), docs[id_col] == F.col("__gone"), "left_anti")
+
+
 def fold(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that matter, under fixed names; whatever else the frame has cannot clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

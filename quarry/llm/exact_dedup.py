@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import spool
+from quarry.llm.common import spool, without
 
 #: What counts as white space (fixed values).
 BLANK = r"\x20\x09-\x0D"
@@ -70,5 +70,4 @@ def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, i
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that classes() drops. Ids are expected to be unique: rows go by their ids."""
-    dropped = classes(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(spool(dropped), docs[id_col] == F.col("__dropped"), "left_anti")
+    return without(docs, classes(docs, id_col=id_col, text_col=text_col).where("NOT kept"), id_col)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, cut, fold, spool
+from quarry.llm.common import SLICE_ROWS, cut, fold, small_or_shuffled, spool, without
 from quarry.llm.graph import components
 
 #: Bits of the short sketch that candidates carry.
@@ -36,8 +36,6 @@ POSITIONS = 1 << 16
 BAND = 1.6
 #: Rows of a block; a pair of blocks is compared in one task.
 BLOCK = 1024
-#: Up to this many ids are broadcast to a scan of the texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -158,8 +156,7 @@ def _node(hashes: np.ndarray) -> int | None:
 def _sets(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """node, hashes of the wanted nodes; nodes(node, doc_id). Texts move only if the ids are too many to broadcast."""
     wanted = nodes.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
-    wanted = F.broadcast(wanted) if nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
-    chosen = docs.join(wanted, docs.doc_id == F.col("__id")).select("__node", "text")
+    chosen = docs.join(small_or_shuffled(wanted), docs.doc_id == F.col("__id")).select("__node", "text")
     out = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,3 +305,9 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     smallest = spool(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("smallest")).withColumnRenamed("comp", "__comp"))
     found = member.join(smallest, F.col("comp") == F.col("__comp"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: that with the smallest id. Ids are expected to be unique: rows go by them."""
+    groups = near_groups(docs, width, num, den, id_col, text_col)
+    return without(docs, groups.where("doc_id <> component_id"), id_col)

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import is_held_out, per_row
+from quarry.llm.common import SLICE_ROWS, is_held_out, per_row
 
 #: Places for hashed words; the statistics follow them.
 WORD_PLACES = 1 << 14
@@ -176,3 +177,19 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5,
 
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("score", pa.float64()), ("predicted", pa.int32())])
     return source.mapInArrow(per_row(out, make), f"doc_id {id_type.simpleString()}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, that score threshold or more. No shuffle."""
+    has_n_chars = n_chars_col in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(text_col).to_pylist()
+                lengths = part.column(n_chars_col).to_pylist() if has_n_chars else [None] * len(texts)
+                yield part.filter(pa.array([model.score(*features(t, n, places)) >= threshold for t, n in zip(texts, lengths, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
