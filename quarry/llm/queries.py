@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, exact_dedup, language_id, near_join, packing, quality_model, quality_rules, token_count
+from quarry.llm import byte_bpe, exact_dedup, language_id, license_scan, near_join, packing, quality_model, quality_rules, token_count, url_filter
 from quarry.llm.common import is_held_out
 
 
@@ -24,6 +24,45 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+#: A dated list for the pages' domains: list, pattern, action, day.
+LIST_EVENTS = [
+    ("adult", "adult-x.example.net", "add", "2024-01-01"),
+    ("adult", "adult-x.example.net", "remove", "2024-05-01"),
+    ("adult", "adult-x.example.net", "add", "2024-08-15"),
+    ("pharma", "cheap-pills.example.com", "add", "2024-02-10"),
+    ("pharma", "www.cheap-pills.example.com", "add", "2024-06-01"),
+    ("pharma", "www.cheap-pills.example.com", "remove", "2024-06-20"),
+    ("spam", "tionsh.example.net", "add", "2024-03-01"),
+    ("spam", "tionsh.example.net", "remove", "2024-03-15"),
+    ("spam", "blog.tionsh.example.net/en", "add", "2024-04-01"),
+    ("spam", "m.ththth.example.net/de/", "add", "2024-07-01"),
+    ("spam", "blog.tionble.example.com/es", "add", "2024-09-01"),
+    ("spam", "blog.tionble.example.com/es", "remove", "2024-12-01"),
+]
+
+
+def list_events(spark: SparkSession) -> DataFrame:
+    events = spark.createDataFrame(LIST_EVENTS, "list_id string, pattern string, action string, day string")
+    return events.select("list_id", "pattern", "action", F.to_date("day").alias("at"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of fetch; the n-th page stands for a capture on the n-th day of 2024, modulo a year."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_at"))
+    return url_filter.filtered(captures, list_events(spark))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; each stands for a file of its source, the short ones for licence files."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/a"), F.col("doc_id") % 7)).otherwise(F.concat(F.lit("/a"), F.col("doc_id") % 7, F.lit("/b"), F.col("doc_id") % 5))
+    name = F.when(F.length("text") < 600, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/f"), F.col("doc_id"), F.lit(".txt")))
+    files = docs.select("doc_id", F.concat("source", folder, name).alias("path"), "text")
+    templates = spark.createDataFrame([(i, *t) for i, t in enumerate(license_scan.TEMPLATES)], "tno int, license string, text string")
+    return license_scan.scan(files, templates)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,8 +90,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op9_best_fit_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_license_scan, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op9_best_fit_packing, op10_byte_bpe)}
+_VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_EVENTS)
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": rf"""
+        WITH changes(list_id, pattern, action, day) AS (VALUES {_VALUES}),
+        spans AS (SELECT list_id, pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY list_id, pattern ORDER BY day) AS valid_to FROM changes),
+        t AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), ':[0-9]*$', '')) AS host,
+                     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched_at FROM pages),
+        hits AS (SELECT page_id, count(*) AS n, min(list_id) AS first_list FROM t JOIN spans ON action = 'add' AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)
+                 AND (host = pattern OR ends_with(host, '.' || pattern)
+                      OR (contains(pattern, '/') AND (host || path = pattern OR starts_with(host || path, rtrim(pattern, '/') || '/'))))
+                 GROUP BY page_id)
+        SELECT page_id, url, host, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, first_list FROM t LEFT JOIN hits USING (page_id)""",
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
