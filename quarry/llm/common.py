@@ -50,6 +50,14 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def discard(spooled: DataFrame) -> None:
+    """Deletes the files of a spooled table that no later step reads."""
+    context = spooled.sparkSession.sparkContext
+    for file in {f.rpartition("/")[0] for f in spooled.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Up to this many ids go to every executor with a scan (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

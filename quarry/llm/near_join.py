@@ -9,8 +9,9 @@ symmetric difference. Sets that are similar enough differ by at most d elements,
   says nothing; there are as many more segments than d + 1 as documents have of these at most, and a document with
   still more of them uses them all: no pair is lost.
 * The candidates' short sketches must be near enough, then the sets themselves are intersected.
-* Of the rows that share a segment, each is first compared with one of them. Then only pairs of rows that lie in
-  different components are left; those are compared in blocks. Pairs inside a component can't change a component.
+* Of the rows that share a segment, each is first compared with one of them, chosen by a hash; where components remain
+  apart, with another one. Then only pairs of rows that lie in different components are left; those are compared in
+  blocks, all of them. Pairs inside a component can't change a component.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, cut, fold, small_or_shuffled, spool, without
+from quarry.llm.common import SLICE_ROWS, cut, discard, fold, small_or_shuffled, spool, without
 from quarry.llm.graph import components
 
-#: Bits of the short sketch that candidates carry.
-SHORT_BITS = 1024
+#: Bits of the sketch that candidates carry: the power of two from the set's size upwards, this at least.
+LEAST_BITS = 512
 #: Positions of a segment's bits, each with a random number; a segment's value is the exclusive or of those of its bits.
 POSITIONS = 1 << 16
 #: Sizes of a band lie within this factor.
 BAND = 1.6
+#: Sets whose keys a task remembers to have given; more copies than needed change no result.
+REMEMBERED = 500_000
 #: Rows of a block; a pair of blocks is compared in one task.
 BLOCK = 1024
 
@@ -94,7 +97,8 @@ class Sketcher:
 
     @staticmethod
     def short(hashes: np.ndarray) -> bytes:
-        return np.packbits((np.bincount((hashes & np.uint64(SHORT_BITS - 1)).astype(np.int64), minlength=SHORT_BITS) & 1).astype(bool)).tobytes()
+        bits = max(LEAST_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+        return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         if not len(hashes):
@@ -127,17 +131,23 @@ def _sketched(docs: DataFrame, measure: Measure) -> DataFrame:
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("node", pa.int64()), ("n_shingles", pa.int64()), ("short", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(measure)
+        sketcher, seen = Sketcher(measure), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 8 * SLICE_ROWS):
                 part = batch.slice(start, 8 * SLICE_ROWS)
                 sets = [sketcher.shingles(t) for t in part.column(1).to_pylist()]
-                keys = [sketcher.keys(s) for s in sets]
+                nodes = [_node(s) for s in sets]
+                keys = []
+                for s, node in zip(sets, nodes, strict=True):  # a task gives the keys of equal sets once
+                    keys.append(sketcher.keys(s) if node not in seen else np.empty(0, np.int64))
+                    seen.add(node)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(out.field(0).type),
-                        pa.array([_node(s) for s in sets], pa.int64()),
+                        pa.array(nodes, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([Sketcher.short(s) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offsets, np.concatenate(keys) if keys else np.empty(0, np.int64)),
@@ -177,7 +187,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measur
     one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     held = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
-    return held.where(F.col("both") * measure.den >= F.col("either") * measure.num).select("a", "b")
+    linked = cut(held.where(F.col("both") * measure.den >= F.col("either") * measure.num).select("a", "b"))
+    discard(sets)
+    return linked
 
 
 def _near(pairs: DataFrame, measure: Measure) -> DataFrame:
@@ -189,19 +201,68 @@ def _near(pairs: DataFrame, measure: Measure) -> DataFrame:
             if not batch.num_rows:
                 continue
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, SHORT_BITS // 64) for c in ("short_a", "short_b"))
-            ok = _may_link(n_a, n_b, np.bitwise_count(x ^ y).sum(1), measure)
+            x, y = (np.array(batch.column(c).to_pylist(), object) for c in ("short_a", "short_b"))
+            width = np.minimum([len(v) for v in x], [len(v) for v in y])
+            ok = np.zeros(len(width), bool)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                distance = np.bitwise_count(_folded(x[at], w) ^ _folded(y[at], w)).sum(1)
+                ok[at] = _may_link(n_a[at], n_b[at], distance, measure)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in "ab"], schema=out)
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of width bytes, as rows of 64-bit words: the parts of a longer one are put together by exclusive or."""
+    parts = [np.bitwise_xor.reduce(np.frombuffer(v, "<u8").reshape(-1, width // 8), axis=0) for v in sketches]
+    return np.stack(parts)
+
+
 def _may_link(n_a, n_b, distance, measure: Measure):
     size = n_a + n_b
     furthest = size - 2 * -(-measure.num * size // (measure.den + measure.num))
     return (distance <= furthest) & (measure.den * np.minimum(n_a, n_b) >= measure.num * np.maximum(n_a, n_b))
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """key, node, star of the keys that two nodes or more have; star is one of the key's nodes, chosen by a hash.
+
+    One shuffle. Rows come sorted, and a key's first node waits until another one follows, so that memory stays the
+    same however many rows a key has.
+    """
+    ordered = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
+    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("star", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, int, bool] | None = None  # of the last key: itself, its star, its last node, whether the star is out
+        for batch in batches:
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            if not len(key):
+                continue
+            if held and held[0] == key[0]:
+                key, node = np.concatenate([[held[0]] * 2, key]), np.concatenate([[held[1], held[2]], node])
+            else:
+                held = None
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            fresh = first | np.concatenate([[True], node[1:] != node[:-1]])
+            if held:
+                fresh[1] = False  # its last node is there for comparison alone
+            key, node, first = key[fresh], node[fresh], first[fresh]
+            starts = np.flatnonzero(first)
+            lengths = np.diff(np.concatenate([starts, [len(key)]]))
+            star, many = np.repeat(node[starts], lengths), np.repeat(lengths, lengths) > 1
+            given = many.copy()
+            if held:
+                given[0] = many[0] and not held[3]
+                many[0] |= held[3]
+            out_of_last = bool(lengths[-1] > 1 or (held and len(starts) == 1 and held[3]))
+            held = (int(key[-1]), int(star[-1]), int(node[-1]) if lengths[-1] > 1 or not held or len(starts) > 1 else held[2], out_of_last)
+            yield pa.RecordBatch.from_arrays([pa.array(x[given], pa.int64()) for x in (key, node, star)], schema=out)
+
+    return ordered.mapInArrow(run, "key long, node long, star long")
+
+
 def _across(rows: DataFrame, measure: Measure) -> DataFrame:
     """Candidates (a, b) among rows(key, size, node, comp, n, short) that share a key and lie in different components.
 
@@ -228,7 +289,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
     held = None
     for batch in batches:
         t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "block", "node", "comp", "n")}
-        t["short"] = np.frombuffer(b"".join(batch.column("short").to_pylist()), "<u8").reshape(-1, SHORT_BITS // 64)
+        t["short"] = np.empty(batch.num_rows, object)
+        t["short"][:] = batch.column("short").to_pylist()
         t = t if held is None else {c: np.concatenate([held[c], t[c]]) for c in t}
         if not len(t["key"]):
             continue
@@ -248,12 +310,23 @@ def _compared(t: dict[str, np.ndarray], measure: Measure) -> tuple[np.ndarray, n
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         node, comp, n, block, short = (t[c][lo:hi] for c in ("node", "comp", "n", "block", "short"))
         i, j = t["i"][lo], t["j"][lo]
-        two = np.flatnonzero(block == j)
-        for r in np.flatnonzero(block == i).tolist():
-            others = two[(comp[two] != comp[r]) & ((node[two] > node[r]) | (i != j))]
-            if len(others):
-                near = others[_may_link(n[r], n[others], np.bitwise_count(short[others] ^ short[r]).sum(1), measure)]
-                out.append((np.maximum(node[near], node[r]), np.minimum(node[near], node[r])))
+        if comp.min() == comp.max():
+            continue
+        width = np.array([len(v) for v in short])
+        for w in np.unique(width).tolist():  # a pair is compared at the smaller of its widths
+            at = np.flatnonzero(width >= w)
+            sketch = _folded(short[at], w)
+            exact, two = width[at] == w, block[at] == j
+            for r in np.flatnonzero(block[at] == i).tolist():
+                other = two & (comp[at] != comp[at[r]])
+                if i == j:
+                    other &= node[at] > node[at[r]]
+                if not exact[r]:
+                    other &= exact
+                others = np.flatnonzero(other)
+                if len(others):
+                    near = at[others[_may_link(n[at[r]], n[at[others]], np.bitwise_count(sketch[others] ^ sketch[r]).sum(1), measure)]]
+                    out.append((np.maximum(node[near], node[at[r]]), np.minimum(node[near], node[at[r]])))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
@@ -271,37 +344,41 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     measure = Measure(width, num, den)
     docs = fold(docs, id_col, text_col)
     table = spool(_sketched(docs, measure))
+    facts = spool(table.select("doc_id", "node", "n_shingles"))
     nodes = spool(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short")))
-
-    keyed = table.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    # equal sets are one node: they are thrown together only after the join, whose hot keys can then be split
-    rows = spool(spool(keyed.join(spool(shared), "key").select("key", "node", "low")).distinct())
-
+    rows = spool(_shared(table.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))))
+    discard(table)
     light = nodes.select("node", "n", "short")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
         a, b = (light.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b")
 
-    first = rows.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    tried = spool(_near(with_sketches(first), measure))
-    links = spool(_linked(tried, nodes, docs, measure))
-    labels = components(links)
-
     def labelled(frame: DataFrame) -> DataFrame:
         found = labels.select(F.col("node").alias("__node"), "comp")
         return frame.join(found, frame.node == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("__node")
 
-    placed = spool(labelled(rows.select("key", "node")))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 < c2").select("key", "size")
-    left = placed.join(spool(open_keys), "key").join(light, "node")
-    second = spool(_across(left, measure).join(tried, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = cut(links.union(_linked(second, nodes, docs, measure)))
-        labels = components(links)
+    def against_stars(rows: DataFrame) -> DataFrame:
+        pairs = rows.where("node <> star").select(F.greatest("node", "star").alias("a"), F.least("node", "star").alias("b")).distinct()
+        return spool(_near(with_sketches(pairs), measure))
 
-    member = spool(labelled(table.select("doc_id", "node", "n_shingles")))
+    tried = against_stars(rows)
+    links = _linked(tried, nodes, docs, measure)
+    labels = components(links)
+    for last in (False, True):
+        # keys whose rows still lie in different components; once more with another star, then all pairs of these
+        placed = labelled(rows.select("key", "node"))
+        h = F.xxhash64("node", "key")
+        still = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), F.max(F.struct(h.alias("h"), F.col("node").alias("star"), F.col("comp").alias("star_comp"))).alias("s"))
+        still = spool(still.where("c1 < c2").select(F.col("key").alias("__key"), "size", "s.star", "s.star_comp"))
+        left = placed.join(still, F.col("key") == F.col("__key"))
+        more = _across(left.select("key", "size", "node", "comp").join(light, "node"), measure) if last else against_stars(left.where("comp <> star_comp"))
+        more = spool(more.join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(_linked(more, nodes, docs, measure))
+            labels = components(links)
+        tried = tried.union(more)
+    member = spool(labelled(facts.select("doc_id", "node", "n_shingles")))
     smallest = spool(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("smallest")).withColumnRenamed("comp", "__comp"))
     found = member.join(smallest, F.col("comp") == F.col("__comp"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
