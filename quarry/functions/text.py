@@ -59,7 +59,7 @@ def lcp(a: Column, b: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.greatest(x["n"], F.lit(1))), lambda i: (i <= x["n"]) & (F.substring(x["a"], i, F.lit(1)) != F.substring(x["b"], i, F.lit(1))))
         return F.coalesce(F.array_min(at) - 1, x["n"])
 
-    some = n.isNotNull() & (n > 0)
+    some = a.isNotNull() & b.isNotNull() & (n > 0)
     return F.when(some, bound(F.struct(a.alias("a"), b.alias("b"), n.alias("n")), first_difference)).otherwise(0)
 
 

@@ -75,9 +75,9 @@ def step(generator: int, s: Column) -> Column:
     if generator == 4:
         return xor_shift(xor_shift(xor_shift(s, -12), 25), -27)
     if generator == 5:
-        return add(s, F.lit(signed(GOLDEN)))
+        return add(s, F.lit(signed(GOLDEN)).cast("long"))
     m, a = ((MMIX, MMIX_ADD), (KNUTH, KNUTH_ADD), (MMIX, 1))[generator - 1]
-    return add(mul(s, m), F.lit(signed(a)))
+    return add(mul(s, m), F.lit(signed(a)).cast("long"))
 
 
 def emit(generator: int, s: Column) -> Column:
