@@ -56,23 +56,25 @@ def scan(files: DataFrame, templates: DataFrame, threshold: float = 0.7, id_col:
     result; columns other than those named are ignored.
     """
     base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    # a file's name for joins: nulls are values of their own
+    base = base.withColumn("fid", F.to_json(F.struct("doc_id", "path"), {"ignoreNullFields": "false"}))
     vectors, idf = template_vectors(templates)
     vectors, idf = F.broadcast(spool(vectors)), F.broadcast(spool(idf))  # the templates' own terms: a fixed small set
     unseen = F.log(F.lit(1.0 + templates.count())) + 1
 
-    lines = base.where(F.col("text").rlike(CUE)).select("doc_id", "path", F.explode(F.filter(F.split("text", "\n"), lambda line: line.rlike(CUE))).alias("line"))
-    lines = spool(lines.select("doc_id", "path", F.xxhash64("line").alias("lno"), "line").distinct())
-    line = ["doc_id", "path", "lno"]
+    lines = base.where(F.col("text").rlike(CUE)).select("fid", F.explode(F.filter(F.split("text", "\n"), lambda line: line.rlike(CUE))).alias("line"))
+    lines = spool(lines.select("fid", F.xxhash64("line").alias("lno"), "line").distinct())
+    line = ["fid", "lno"]
     terms = lines.select(*line, F.explode(tokens_of(F.col("line"))).alias("token")).select(*line, F.rtrim("token", F.lit(".")).alias("term"))
     counts = terms.groupBy(*line, "term").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", unseen))
     norms = counts.groupBy(*line).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = counts.join(vectors, "term").groupBy(*line, "tno", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     near = dots.join(norms, line).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license").alias("license")))
-    own = spool(near.groupBy("doc_id", "path").agg(best.alias("b")).select(F.col("doc_id").alias("__id"), F.col("path").alias("__path"), F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("similarity")))
+    own = spool(near.groupBy("fid").agg(best.alias("b")).select("fid", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("similarity")))
 
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    with_own = spool(base.select("doc_id", "path", folder.alias("dir")).join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("path").eqNullSafe(F.col("__path")), "left").drop("__id", "__path"))
+    with_own = spool(base.select("fid", "doc_id", "path", folder.alias("dir")).join(own, "fid", "left").drop("fid"))
     at = with_own.where(F.col("own_license").isNotNull() & F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE))
     chosen = F.min(F.struct((-F.col("similarity")).alias("minus"), F.col("own_license").alias("license")))
     licensed = spool(at.groupBy("dir").agg(chosen.alias("b")).select(F.col("dir").alias("__dir"), F.col("b.license").alias("dir_license")))
