@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.functions import word64
-from quarry.operators import columnar, corpus, density, dictionary, ordered, profile, provenance, router, segment, sequences, shapes, twins
+from quarry.operators import blobs, columnar, corpus, density, dictionary, ordered, profile, provenance, router, segment, sequences, shapes, twins
 from quarry.sources.storage import spool, table, vault_get, vault_put
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,6 +545,17 @@ def vault_missing(spark, sf_dir):
     return vault_get(spool(vault), wanted)[1].select("doc_id", "digest", "length")
 
 
+@register("""SELECT * FROM (SELECT 'd' || doc_id AS "key", sha256(text) AS digest, 'core' AS kinds FROM documents WHERE text <> ''
+    UNION ALL SELECT 'p' || page_id, sha256(html), 'core' FROM pages)""")
+def blob_roundtrip(spark, sf_dir):
+    """Documents and pages as binary bodies, through segments and back."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.encode("text", "UTF-8").alias("body"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.encode("html", "UTF-8").alias("body"))
+    rows = spool(blobs.encode(docs.union(pages), "key", "body")[0])
+    kinds = rows.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"))
+    return blobs.decode(rows).select("key", F.sha2("body", 256).alias("digest")).join(kinds, "key")
+
+
 _RATIO = r"(strlen({0}) - strlen(regexp_replace({0}, '[\x20-\x7E\n\t\r]', '', 'g'))) * 100 < strlen({0}) * 85"
 
 

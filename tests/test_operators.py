@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.functions import word64
-from quarry.operators import columnar, density, dictionary, ordered, profile, provenance, router, segment, sequences, shapes, twins
+from quarry.operators import blobs, columnar, density, dictionary, ordered, profile, provenance, router, segment, sequences, shapes, twins
 from quarry.sources import storage
 
 M = (1 << 64) - 1
@@ -170,3 +170,24 @@ def test_twins_reset_at_blank_lines(spark):
     found = {r.line_no: r.twin for r in twins.record_twins(docs).collect()}
     assert found == {0: None, 1: None, 3: None, 4: None, 6: None} or found[4] in (None, 1)
     assert {r.line_no: r.twin for r in twins.line_twins(docs).collect()}[3] == 0
+
+
+def test_blobs(spark):
+    import hashlib
+
+    noise = {g: blobs.expand_orbit(g, 88172645463325252, 40_000) for g in range(6)}
+    dense = b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(4000))
+    rows = [(f"g{g}", b"\x01" * g + n + b"tail") for g, n in noise.items()]
+    rows += [("stored", dense), ("short", dense[:60_000]), ("text", b"plain words " * 500), ("mixed", b"plain words " * 30_000 + dense * 4), ("tiny", b"ab"), ("late", dense[:16] + noise[0])]
+    source = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "key string, body binary")
+    empty = spark.createDataFrame([], "digest string, length long, body binary")
+    segments, fresh = blobs.encode(source, "key", "body", empty)
+    kinds = {}
+    for r in segments.collect():
+        kinds.setdefault(r.key, []).append((r.start, r.kind, r.gen_id))
+    assert all(kinds[f"g{g}"][0][1:] == ("seed", g) for g in range(6))
+    assert [k for _, k, _ in kinds["stored"]] == ["stored"] and [k for _, k, _ in kinds["short"]] == ["dense"] and [k for _, k, _ in kinds["text"]] == ["core"]
+    assert len(kinds["mixed"]) == 2 and kinds["late"][0][1] == "stored"
+    assert {r.key: bytes(r.body) for r in blobs.decode(segments, fresh).collect()} == dict(rows)
+    with pytest.raises(Exception, match="the vault lacks object"):
+        blobs.decode(segments, empty).collect()
