@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows turned into Python objects at once; bounds a worker's memory when texts are long.
-SLICE_ROWS = 64
+from quarry.sources.storage import cut, shared_dir, spool
 
+__all__ = ["cut", "discard", "fold", "is_held_out", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the setting is absent (tests, a local session) a folder of this machine is taken, and kept for
-    the session.
-    """
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    set_already = context._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return where or set_already.get()
-    where = where or tempfile.mkdtemp(prefix="quarry-")
-    context.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: for small frames that many later steps read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder: for wide or large intermediate results.
-
-    Survives the loss of any executor, is compressed and pruned by column when read. Deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    where = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+#: Rows turned into Python objects at once; bounds a worker's memory when texts are long.
+SLICE_ROWS = 64
 
 
 def discard(spooled: DataFrame) -> None:

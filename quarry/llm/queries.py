@@ -91,6 +91,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_license_scan, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op9_best_fit_packing, op10_byte_bpe)}
+_TEMPLATES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(license_scan.TEMPLATES))
+_N = len(license_scan.TEMPLATES)
+_TERMS = "rtrim(tok, '.') AS term FROM (SELECT *, unnest(regexp_split_to_array(lower({0}), '[^a-z0-9.]+')) AS tok FROM {1}) WHERE trim(tok, '.') <> ''"
 _VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_EVENTS)
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": rf"""
@@ -103,6 +106,25 @@ ORACLE_SQL: dict[str, str] = {
                       OR (contains(pattern, '/') AND (host || path = pattern OR starts_with(host || path, rtrim(pattern, '/') || '/'))))
                  GROUP BY page_id)
         SELECT page_id, url, host, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, first_list FROM t LEFT JOIN hits USING (page_id)""",
+    "op4_license_scan": rf"""
+        WITH t(tno, license, body) AS (VALUES {_TEMPLATES}),
+        tf AS (SELECT tno, license, term, count(*) AS tf FROM (SELECT tno, license, {_TERMS.format('body', 't')}) GROUP BY ALL),
+        idf AS (SELECT term, ln({_N + 1}.0 / (1 + count(DISTINCT tno))) + 1 AS idf FROM tf GROUP BY term),
+        tw AS (SELECT tno, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tno)) AS w FROM tf JOIN idf USING (term)),
+        files AS (SELECT doc_id, source || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/a' || doc_id % 7 ELSE '/a' || doc_id % 7 || '/b' || doc_id % 5 END
+                         || CASE WHEN length(text) < 600 THEN '/LICENSE' ELSE '/f' || doc_id || '.txt' END AS path, text FROM documents),
+        li AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{license_scan.CUE}')),
+        lf AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, {_TERMS.format('line', 'li')}) GROUP BY ALL),
+        lw AS (SELECT doc_id, line, term, tf * coalesce(idf, ln({_N + 1}.0) + 1) AS x FROM lf LEFT JOIN idf USING (term)),
+        ln_ AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
+        dots AS (SELECT doc_id, line, tno, license, sum(x * w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
+        best AS (SELECT doc_id, license AS own_license, cosine AS similarity FROM (SELECT doc_id, license, round(dot / norm, 6) AS cosine FROM dots JOIN ln_ USING (doc_id, line))
+                 WHERE cosine >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+        f AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, similarity FROM files LEFT JOIN best USING (doc_id)),
+        d AS (SELECT dir AS up, own_license AS dir_license FROM f WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{license_scan.LICENCE_FILE}')
+              QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_license) = 1),
+        n AS (SELECT f.dir, arg_max(up, length(up)) AS up, arg_max(dir_license, length(up)) AS dir_license FROM (SELECT DISTINCT dir FROM f) AS f JOIN d ON f.dir = up OR up = '' OR starts_with(f.dir, up || '/') GROUP BY f.dir)
+        SELECT doc_id, path, own_license, similarity, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN up END AS inherited_from FROM f LEFT JOIN n USING (dir)""",
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
