@@ -1,7 +1,7 @@
 """Quality rules: counts over a text's words and lines, and a log-likelihood ratio between two multinomials.
 
 Hashed words and word pairs are counted over a trusted target and over the raw corpus. A document's score is the mean,
-over its words and pairs, of log(p_target / p_raw); each document is kept or not by that score and by the counts.
+over its words and pairs and a few neutral ones, of log(p_target / p_raw); each document is kept or not by that score and by the counts.
 DataFrame operations only, no shuffle of texts.
 """
 
@@ -19,6 +19,8 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 #: Log ratios are whole numbers of 1/STEPS, so that sums don't depend on their order.
 STEPS = 1024
+#: Grams of ratio 0 that every document has besides its own: a few unlucky ones don't condemn a short text.
+NEUTRAL = 20
 
 
 def bound(value: Column, body) -> Column:
@@ -109,7 +111,7 @@ def facts(text: Column, ratios: Column, places: int) -> Column:
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             bound(windows_of(hashes), repeated_words).alias("n_repeat_words"),
-            (total / (F.greatest(2 * F.size(hashes) - 1, F.lit(1)) * STEPS)).alias("llr"),
+            (total / ((F.greatest(2 * F.size(hashes) - 1, F.lit(0)) + NEUTRAL) * STEPS)).alias("llr"),
         )
 
     return bound(words_of(text), lambda words: bound(hashes_of(words), lambda hashes: of_hashes(words, hashes)))
