@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SLICE_ROWS, cut, discard, fold, small_or_shuffled, spool, without
@@ -36,9 +36,9 @@ POSITIONS = 1 << 16
 #: Sizes of a band lie within this factor.
 BAND = 1.6
 #: Sets whose keys a task remembers to have given; more copies than needed change no result.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Rows of a block; a pair of blocks is compared in one task.
-BLOCK = 1024
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,8 @@ class Measure:
     den: int
 
     def furthest(self, size: int) -> int:
-        """The largest symmetric difference of linked sets whose sizes add up to size."""
-        return size - 2 * -(-self.num * size // (self.den + self.num))
+        """No linked sets differ by more elements if their sizes add up to size or less."""
+        return (self.den - self.num) * size // (self.den + self.num)
 
     def spaces(self, n: int) -> Iterator[tuple[int, int, int]]:
         """Of the bands that a set of size n takes part in: number, d, segments."""
@@ -82,7 +82,7 @@ class Sketcher:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -225,13 +225,20 @@ def _may_link(n_a, n_b, distance, measure: Measure):
     return (distance <= furthest) & (measure.den * np.minimum(n_a, n_b) >= measure.num * np.maximum(n_a, n_b))
 
 
+def _turn() -> Column:
+    """A node's place among the nodes of a key. There are a few orders only, dealt out by the keys, so that documents
+    which share many keys are compared with a few stars and not with a new one for each key.
+    """
+    return F.xxhash64("node", F.col("key").bitwiseAND(F.lit(3)))
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
     """key, node, star of the keys that two nodes or more have; star is one of the key's nodes, chosen by a hash.
 
     One shuffle. Rows come sorted, and a key's first node waits until another one follows, so that memory stays the
     same however many rows a key has.
     """
-    ordered = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", _turn(), "node")
     out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("star", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +362,14 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         return pairs.join(a, "a").join(b, "b")
 
     def labelled(frame: DataFrame) -> DataFrame:
-        found = labels.select(F.col("node").alias("__node"), "comp")
+        found = small_or_shuffled(labels.select(F.col("node").alias("__node"), "comp"))
         return frame.join(found, frame.node == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("__node")
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        a, b = (small_or_shuffled(labels.select(F.col("node").alias(f"__{c}"), F.col("comp").alias(f"c{c}"))) for c in "ab")
+        found = pairs.join(a, F.col("a") == F.col("__a"), "left").join(b, F.col("b") == F.col("__b"), "left")
+        return found.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
     def against_stars(rows: DataFrame) -> DataFrame:
         pairs = rows.where("node <> star").select(F.greatest("node", "star").alias("a"), F.least("node", "star").alias("b")).distinct()
         return spool(_near(with_sketches(pairs), measure))
@@ -366,16 +378,23 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     links = _linked(tried, nodes, docs, measure)
     labels = components(links)
     for last in (False, True):
-        # keys whose rows still lie in different components; once more with another star, then all pairs of these
+        # keys whose rows still lie in different components; once more with another star, then all pairs of these.
+        # Of two rows one was the other's star: those are done.
         placed = labelled(rows.select("key", "node"))
-        h = F.xxhash64("node", "key")
-        still = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), F.max(F.struct(h.alias("h"), F.col("node").alias("star"), F.col("comp").alias("star_comp"))).alias("s"))
-        still = spool(still.where("c1 < c2").select(F.col("key").alias("__key"), "size", "s.star", "s.star_comp"))
-        left = placed.join(still, F.col("key") == F.col("__key"))
-        more = _across(left.select("key", "size", "node", "comp").join(light, "node"), measure) if last else against_stars(left.where("comp <> star_comp"))
+        other = F.lit(None) if last else F.max(F.struct(_turn().alias("h"), F.col("node").alias("node")))["node"]
+        still = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), other.cast("long").alias("star"))
+        still = spool(still.where("c1 < c2 AND size > 2").select(F.col("key").alias("__key"), "size", "star"))
+        left = placed.join(small_or_shuffled(still), F.col("key") == F.col("__key"))
+        more = _across(left.select("key", "size", "node", "comp").join(light, "node"), measure) if last else against_stars(left)
         more = spool(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.union(_linked(more, nodes, docs, measure))
+        for one_each in (True, False):  # sets of one pair for each two components, then of the pairs still apart
+            rest = apart(more)
+            if one_each:
+                rest = rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+            rest = spool(rest.select("a", "b"))
+            if rest.isEmpty():
+                break
+            links = links.union(_linked(rest, nodes, docs, measure))
             labels = components(links)
         tried = tried.union(more)
     member = spool(labelled(facts.select("doc_id", "node", "n_shingles")))

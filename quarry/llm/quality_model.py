@@ -31,7 +31,7 @@ STATISTICS = (
 )
 PLACES = WORD_PLACES + len(STATISTICS)
 MARKS = re.compile(r"[#*$%&<>@^~=+{}\[\]\\/_]")
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def place(word: str) -> int:
