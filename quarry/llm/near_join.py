@@ -226,10 +226,10 @@ def _may_link(n_a, n_b, distance, measure: Measure):
 
 
 def _turn() -> Column:
-    """A node's place among the nodes of a key. There are a few orders only, dealt out by the keys, so that documents
-    which share many keys are compared with a few stars and not with a new one for each key.
+    """A node's place among the nodes of a key: an order of its own for each key, so that documents which share many
+    keys are compared with many stars, and few of those that are linked stay apart.
     """
-    return F.xxhash64("node", F.col("key").bitwiseAND(F.lit(3)))
+    return F.xxhash64("node", "key")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
