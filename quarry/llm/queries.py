@@ -59,8 +59,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/a"), F.col("doc_id") % 7)).otherwise(F.concat(F.lit("/a"), F.col("doc_id") % 7, F.lit("/b"), F.col("doc_id") % 5))
     name = F.when(F.length("text") < 600, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/f"), F.col("doc_id"), F.lit(".txt")))
     files = docs.select("doc_id", F.concat("source", folder, name).alias("path"), "text")
-    templates = spark.createDataFrame([(i, *t) for i, t in enumerate(license_scan.TEMPLATES)], "tno int, license string, text string")
-    return license_scan.scan(files, templates)
+    return license_scan.scan(files, license_scan.known_templates(spark))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

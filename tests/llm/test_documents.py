@@ -238,6 +238,26 @@ def test_license_scan(spark):
     assert license_scan.scan(files.limit(0), templates).count() == 0
 
 
+@pytest.mark.parametrize("width", [0, 40, 70])
+def test_license_templates_find_themselves(spark, width):
+    import textwrap
+
+    every = [*license_scan.TEMPLATES, *license_scan.FURTHER]
+    rows = [(i, f"r{i}/x.py", "import os\n\n" + "\n".join(f"# {line}" for line in (textwrap.wrap(t, width, break_long_words=False) if width else [t])) + "\n\nprint(1)\n") for i, (_, t) in enumerate(every)]
+    got = {r.doc_id: (r.own_license, r.similarity) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), license_scan.known_templates(spark)).collect()}
+    assert {i: got[i][0] for i in got} == {i: name for i, (name, _) in enumerate(every)} and all(s == 1 for _, s in got.values())
+
+
+def test_license_blocks_and_files(spark):
+    mit = license_scan.TEMPLATES[2][1] + ' (the "Software"), to deal in the Software without restriction, subject to the following conditions: the above notice shall be included in all copies.'
+    rows = [
+        (1, "r/LICENSE", "MIT\n\nCopyright (c) 2020 Somebody\n\n" + mit.replace(", to", ",\nto").replace(": ", ":\n\n")), (2, "q/x.c", "/* SPDX-License-Identifier: Zlib */"), (3, "q/COPYING", "Nothing is said of it here.\n\nThe use of any work under version 2."),
+        (4, "p/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone is permitted to copy."), (5, "p/y.c", ""), (6, "o/z.c", "// SPDX-License-Identifier: GPL-3.0-or-later"), (7, "o/z.txt", "mit\n\nmit"),
+    ]
+    got = {r.doc_id: (r.own_license, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), license_scan.known_templates(spark)).collect()}
+    assert got == {1: ("MIT", "MIT"), 2: (None, None), 3: (None, None), 4: ("GPL-2.0", "GPL-2.0"), 5: (None, "GPL-2.0"), 6: ("GPL-3.0", "GPL-3.0"), 7: (None, None)}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
