@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.storage import cut, shared_dir, spool
 
-__all__ = ["cut", "discard", "fold", "is_held_out", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
+__all__ = ["cut", "discard", "fold", "is_held_out", "numbered", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
 
 #: Rows turned into Python objects at once; bounds a worker's memory when texts are long.
 SLICE_ROWS = 64
@@ -33,6 +33,15 @@ def small_or_shuffled(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+#: A row's number in a spooled table; ids may repeat or be null.
+ROW = "__quarry_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written down so that every later scan sees the same numbers."""
+    return spool(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is among ids(doc_id)."""
     gone = spool(ids.select(F.col("doc_id").alias("__gone")).distinct())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import spool, without
+from quarry.llm.common import ROW, numbered, spool, without
 
 #: What counts as white space (fixed values).
 BLANK = r"\x20\x09-\x0D"
@@ -28,8 +28,8 @@ def shared(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(repeated, key, "left_semi")
 
 
-def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256; row_col too, if it names unique row numbers.
 
     Texts are equal if their normalised forms are. The row with the smallest id stays; null ids come last, and of
     rows with one id and one text exactly one stays. Null texts equal empty ones. With digest_all the digest of
@@ -37,14 +37,15 @@ def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, i
     text_sha256 is null for rows that no other row resembles. Columns other than the two named are ignored.
     """
     text = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
     digest = F.sha2(F.col("norm").cast("binary"), 256)
     facts = base.select(
         "doc_id",
         F.octet_length("norm").cast("long").alias("length"),
         F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"),
         (digest if digest_all else F.lit(None).cast("string")).alias("text_sha256"),
-    ).withColumn("row", F.monotonically_increasing_id())
+        (F.col("row") if row_col else F.monotonically_increasing_id()).alias("row"),
+    )
     facts = spool(facts)
 
     survivors = shared(shared(facts, ["length"]), ["length", "prefix"])
@@ -65,9 +66,12 @@ def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, i
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that classes() drops. Ids are expected to be unique: rows go by their ids."""
-    return without(docs, classes(docs, id_col=id_col, text_col=text_col).where("NOT kept"), id_col)
+    """docs without the rows that classes() drops; rows go by numbers, so ids may repeat or be null."""
+    docs = numbered(docs)
+    gone = classes(docs, id_col=id_col, text_col=text_col, row_col=ROW).where("NOT kept")
+    return without(docs, gone.select(F.col(ROW).alias("doc_id")), ROW).drop(ROW)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, cut, discard, fold, small_or_shuffled, spool, without
+from quarry.llm.common import ROW, SLICE_ROWS, cut, discard, fold, numbered, small_or_shuffled, spool, without
 from quarry.llm.graph import components
 
 #: Bits of the sketch that candidates carry: the power of two from the set's size upwards, this at least.
@@ -404,6 +404,14 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
 
 def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: that with the smallest id. Ids are expected to be unique: rows go by them."""
-    groups = near_groups(docs, width, num, den, id_col, text_col)
-    return without(docs, groups.where("doc_id <> component_id"), id_col)
+    """docs with one row of each group: that with the smallest id, null ids last; of rows with that id exactly one.
+
+    Groups are those of row numbers, so ids may repeat or be null.
+    """
+    docs = numbered(docs)
+    groups = near_groups(docs, width, num, den, ROW, text_col).select(F.col("doc_id").alias("row"), "component_id")
+    groups = spool(groups.join(docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id")), "row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row")))["row"]
+    kept = groups.groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", "first")
+    gone = groups.join(kept, "component_id").where("row <> first")
+    return without(docs, gone.select(F.col("row").alias("doc_id")), ROW).drop(ROW)

@@ -258,6 +258,15 @@ def test_license_blocks_and_files(spark):
     assert got == {1: ("MIT", "MIT"), 2: (None, None), 3: (None, None), 4: ("GPL-2.0", "GPL-2.0"), 5: (None, "GPL-2.0"), 6: ("GPL-3.0", "GPL-3.0"), 7: (None, None)}
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.deduplicated, near_join.representatives])
+def test_rows_go_by_numbers(spark, stage):
+    a, b, c = ("first text of some length here", "another text that is quite unique", "the third text without any id")
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (2, a), (None, c), (None, c), (3, "text with one row")], "doc_id long, text string")
+    kept = stage(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (3, "text with one row")], key=str)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
