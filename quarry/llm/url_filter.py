@@ -37,7 +37,10 @@ def intervals(events: DataFrame) -> DataFrame:
     and adjoining intervals stay apart. Of events at one time an addition comes last and so decides. Repeated events
     count once; events without list, pattern, time or a known action are left out.
     """
-    known = events.select("list_id", F.lower(F.trim("pattern")).alias("pattern"), F.lower("action").alias("action"), "at").dropna().where(F.col("action").isin("add", "remove"))
+    pattern = F.trim("pattern")
+    host = F.regexp_extract(pattern, r"^[^/]*", 0)
+    folded = F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))  # paths keep their case
+    known = events.select("list_id", folded.alias("pattern"), F.lower("action").alias("action"), "at").dropna().where(F.col("action").isin("add", "remove"))
     latest = known.groupBy("list_id", "pattern", "at").agg(F.min("action").alias("action"))
     later = Window.partitionBy("list_id", "pattern").orderBy("at")
     return latest.withColumn("valid_to", F.lead("at").over(later)).where("action = 'add'").select("list_id", "pattern", F.col("at").alias("valid_from"), "valid_to")

@@ -223,6 +223,13 @@ def test_url_filter(spark):
     assert url_filter.filtered(captures.limit(0), events).count() == 0 and url_filter.filtered(captures, events.limit(0)).where("blocked").count() == 0
 
 
+def test_url_paths_keep_their_case(spark):
+    events = spark.createDataFrame([("a", " X.org/Docs/", "add", 1)], "list_id string, pattern string, action string, at long")
+    urls = ["http://x.ORG/Docs/a", "http://x.org/docs/a"]
+    captures = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, fetched_at long")
+    assert {r.page_id: r.blocked for r in url_filter.filtered(captures, events).collect()} == {0: True, 1: False}
+
+
 def test_license_scan(spark):
     templates = spark.createDataFrame([(i, *t) for i, t in enumerate(license_scan.TEMPLATES)], "tno int, license string, text string")
     rows = [
