@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.storage import cut, shared_dir, spool
 
-__all__ = ["cut", "discard", "fold", "is_held_out", "numbered", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
+__all__ = ["cut", "discard", "fold", "has_unique", "is_held_out", "numbered", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
 
 #: Rows turned into Python objects at once; bounds a worker's memory when texts are long.
 SLICE_ROWS = 64
@@ -42,6 +42,12 @@ def numbered(docs: DataFrame) -> DataFrame:
     return spool(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def has_unique(docs: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or stands in two rows; ids alone are read."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    return ids.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty()
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is among ids(doc_id)."""
     gone = spool(ids.select(F.col("doc_id").alias("__gone")).distinct())

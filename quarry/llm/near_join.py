@@ -4,14 +4,18 @@ A document is the set of hashes of its shingles. A parity sketch has a bit for e
 for each element that falls there, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference. Sets that are similar enough differ by at most d elements, where d follows from their sizes.
 
-* Candidates: sizes fall into bands. Within a band a sketch is cut into more than d segments, so two linked
-  documents have an equal segment (pigeonhole). Segments are joined by their values. A segment without a bit set
-  says nothing; there are as many more segments than d + 1 as documents have of these at most, and a document with
-  still more of them uses them all: no pair is lost.
+* Candidates: sizes fall into bands. Within a band a sketch is cut into m segments, so two sets that differ by at most
+  d elements agree in at least m - d segments (pigeonhole). Segments that agree are alike in all respects, so if every
+  set leaves out its m - d - 1 weakest ones, in an order by contents alone, the strongest one on which two sets agree is
+  given by both: a set gives d + 1 keys, d following from its own size, and segments with few elements, which sets
+  share by accident, or with none are the ones left out. No pair is lost.
+* Keys are sorted by ranges of keys and names, so that a key with very many sets is split over tasks.
 * The candidates' short sketches must be near enough, then the sets themselves are intersected.
-* Of the rows that share a segment, each is first compared with one of them, chosen by a hash; where components remain
-  apart, with another one. Then only pairs of rows that lie in different components are left; those are compared in
+* Of the sets that share a segment, each is first compared with one of them, chosen by a hash; where components remain
+  apart, with another one. Then only pairs of sets that lie in different components are left; those are compared in
   blocks, all of them. Pairs inside a component can't change a component.
+
+Sets are named by 128 bits, which are soon replaced by numbers.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ROW, SLICE_ROWS, cut, discard, fold, numbered, small_or_shuffled, spool, without
+from quarry.llm.common import ROW, SLICE_ROWS, cut, discard, fold, has_unique, numbered, small_or_shuffled, spool, without
 from quarry.llm.graph import components
 
 #: Bits of the sketch that candidates carry: the power of two from the set's size upwards, this at least.
@@ -34,7 +38,9 @@ LEAST_BITS = 512
 #: Positions of a segment's bits, each with a random number; a segment's value is the exclusive or of those of its bits.
 POSITIONS = 1 << 16
 #: Sizes of a band lie within this factor.
-BAND = 1.6
+BAND = 2.5
+#: Segments of a band for each key that its largest sets give.
+SPARE = 1.25
 #: Sets whose keys a task remembers to have given; more copies than needed change no result.
 REMEMBERED = 200_000
 #: Rows of a block; a pair of blocks is compared in one task.
@@ -54,17 +60,23 @@ class Measure:
         return (self.den - self.num) * size // (self.den + self.num)
 
     def spaces(self, n: int) -> Iterator[tuple[int, int, int]]:
-        """Of the bands that a set of size n takes part in: number, d, segments."""
+        """Of the bands that a set of size n takes part in: number, segments, keys that it gives."""
         band, low, high = 0, 1, 2
         while n >= high:
-            band, low, high = band + 1, high, max(high + 1, math.ceil(high * BAND))
-        yield self._space(band, high)
-        if self.den * n >= self.num * high:
-            yield self._space(band + 1, max(high + 1, math.ceil(high * BAND)))
+            band, low, high = band + 1, high, self._above(high)
+        largest = n * self.den // self.num  # of the sets that are near enough
+        yield band, self._segments(high), self.furthest(n + min(high - 1, largest)) + 1
+        while largest >= high:
+            band, high = band + 1, self._above(high)
+            yield band, self._segments(high), self.furthest(n + min(high - 1, largest)) + 1
+
+    @staticmethod
+    def _above(high: int) -> int:
+        return max(high + 1, math.ceil(high * BAND))
 
-    def _space(self, band: int, high: int) -> tuple[int, int, int]:
-        d = self.furthest(2 * (high - 1))
-        return band, d, d + 1 + (d + 1) // 16 + (d >= 4)
+    def _segments(self, high: int) -> int:
+        keys = self.furthest(2 * (high - 1)) + 1
+        return keys if keys == 1 else math.ceil(SPARE * keys) + 1
 
 
 class Sketcher:
@@ -108,27 +120,29 @@ class Sketcher:
             self.spaces[n] = list(self.measure.spaces(n))
         top, value = hashes >> np.uint64(32), self.positions[((hashes >> np.uint64(10)) & np.uint64(POSITIONS - 1)).astype(np.int64)]
         out = []
-        for band, d, segments in self.spaces[n]:
+        for band, segments, wanted in self.spaces[n]:
             segment = (top * np.uint64(segments)) >> np.uint64(32)  # rising, as the hashes are sorted
             starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(segments)))
-            found = np.bitwise_xor.reduceat(value, starts)
-            at = segment[starts][found != 0]
-            found = found[found != 0]
-            if segments - len(at) > segments - d - 1:  # too many segments without a bit: those count as well
+            found, at, size = np.bitwise_xor.reduceat(value, starts), segment[starts], np.diff(starts, append=n)
+            if len(at) < wanted:  # segments without elements are the weakest
                 missing = np.setdiff1d(np.arange(segments, dtype=np.uint64), at)
                 at, found = np.concatenate([at, missing]), np.concatenate([found, np.zeros(len(missing), np.uint64)])
+                size = np.concatenate([size, np.zeros(len(missing), np.int64)])
             key = (found ^ (at << np.uint64(8) | np.uint64(band))) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
-            out.append((key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+            key *= np.uint64(0xD6E8FEB86659FD93)
+            if len(key) > wanted:  # the order is that of (elements, key)
+                key = key[np.lexsort((key, size))[-wanted:]]
+            out.append(key.view(np.int64))
         return np.concatenate(out)
 
 
 def _sketched(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, node (a hash of the set; null without words), n_shingles, short sketch, keys."""
+    """doc_id, node, check (the two halves of the set's name; null without words), n_shingles, short sketch, keys."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = docs.schema["doc_id"].dataType
-    out = pa.schema([("doc_id", to_arrow_type(id_type)), ("node", pa.int64()), ("n_shingles", pa.int64()), ("short", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", to_arrow_type(id_type)), ("node", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("short", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, seen = Sketcher(measure), set()
@@ -136,18 +150,18 @@ def _sketched(docs: DataFrame, measure: Measure) -> DataFrame:
             for start in range(0, batch.num_rows, 8 * SLICE_ROWS):
                 part = batch.slice(start, 8 * SLICE_ROWS)
                 sets = [sketcher.shingles(t) for t in part.column(1).to_pylist()]
-                nodes = [_node(s) for s in sets]
+                names = [_name(s) for s in sets]
                 keys = []
-                for s, node in zip(sets, nodes, strict=True):  # a task gives the keys of equal sets once
-                    keys.append(sketcher.keys(s) if node not in seen else np.empty(0, np.int64))
-                    seen.add(node)
+                for s, name in zip(sets, names, strict=True):  # a task gives the keys of equal sets once
+                    keys.append(sketcher.keys(s) if name not in seen else np.empty(0, np.int64))
+                    seen.add(name)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(out.field(0).type),
-                        pa.array(nodes, pa.int64()),
+                        *(pa.array([x[i] for x in names], pa.int64()) for i in range(2)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([Sketcher.short(s) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offsets, np.concatenate(keys) if keys else np.empty(0, np.int64)),
@@ -155,36 +169,42 @@ def _sketched(docs: DataFrame, measure: Measure) -> DataFrame:
                     schema=out,
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, node long, n_shingles long, short binary, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, node long, check long, n_shingles long, short binary, keys array<long>")
 
 
-def _node(hashes: np.ndarray) -> int | None:
-    """64 bits name a set: among 10^9 different sets one wrong merger is expected in 37 such corpora."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None
+def _name(hashes: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    if not len(hashes):
+        return None, None
+    name = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (name >> 64) - 2**63, (name & 2**64 - 1) - 2**63
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """node, hashes of the wanted nodes; nodes(node, doc_id). Texts move only if the ids are too many to broadcast."""
-    wanted = nodes.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
-    chosen = docs.join(small_or_shuffled(wanted), docs.doc_id == F.col("__id")).select("__node", "text")
-    out = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """num, hashes of the wanted nodes(num, node, check, doc_id). Texts move only if the ids are too many to broadcast.
+
+    Ids may be null or repeat: of the texts that have an id, those count whose set has the name.
+    """
+    wanted = nodes.select(F.col("doc_id").alias("__id"), "num", "node", "check")
+    chosen = docs.join(small_or_shuffled(wanted), docs.doc_id.eqNullSafe(F.col("__id"))).select("num", "node", "check", "text")
+    out = pa.schema([("num", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(measure)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                rows = [(n, s.view(np.int64)) for n, s in zip(part.column(0).to_pylist(), map(sketcher.shingles, part.column(1).to_pylist()), strict=True) if _node(s) == n]
+                num, node, check, text = (c.to_pylist() for c in part.columns)
+                rows = [(i, s.view(np.int64)) for i, *name, s in zip(num, node, check, map(sketcher.shingles, text), strict=True) if _name(s) == tuple(name)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=out)
 
-    return chosen.mapInArrow(run, "node long, hashes array<long>")
+    return chosen.mapInArrow(run, "num long, hashes array<long>")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs(a, b) whose sets are similar enough; nodes(node, doc_id)."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = spool(_sets(docs, cut(nodes.join(ends, "node", "left_semi").select("node", "doc_id")), measure).dropDuplicates(["node"]))
-    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
+    """The pairs(a, b) of numbers whose sets are similar enough; nodes(num, node, check, doc_id)."""
+    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+    sets = spool(_sets(docs, cut(nodes.join(ends, "num", "left_semi").select("num", "node", "check", "doc_id")), measure).dropDuplicates(["num"]))
+    one, two = (sets.select(F.col("num").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     held = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
     linked = cut(held.where(F.col("both") * measure.den >= F.col("either") * measure.num).select("a", "b"))
@@ -229,57 +249,59 @@ def _turn() -> Column:
     """A node's place among the nodes of a key: an order of its own for each key, so that documents which share many
     keys are compared with many stars, and few of those that are linked stay apart.
     """
-    return F.xxhash64("node", "key")
+    return F.xxhash64("num", "key")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """key, node, star of the keys that two nodes or more have; star is one of the key's nodes, chosen by a hash.
+    """Of keyed(key, node, check) the distinct rows whose key two sets or more have, and a few others.
 
-    One shuffle. Rows come sorted, and a key's first node waits until another one follows, so that memory stays the
-    same however many rows a key has.
+    One shuffle, by ranges of (key, name): a key with very many sets is split over tasks like any other rows. So the
+    first and the last key of a partition may go on in its neighbours, and are given in any case. A key's first row
+    waits until another one follows, so that memory stays the same however many rows a key has.
     """
-    ordered = keyed.repartition("key").sortWithinPartitions("key", _turn(), "node")
-    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("star", pa.int64())])
+    columns = ["key", "node", "check"]
+    ordered = keyed.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    out = pa.schema([(c, pa.int64()) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, bool] | None = None  # of the last key: itself, its star, its last node, whether the star is out
+        held: list[np.ndarray] | None = None  # the last row, and whether it is given already
+        done = False
         for batch in batches:
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            if not len(key):
+            t = [batch.column(c).to_numpy() for c in columns]
+            if not len(t[0]):
                 continue
-            if held and held[0] == key[0]:
-                key, node = np.concatenate([[held[0]] * 2, key]), np.concatenate([[held[1], held[2]], node])
-            else:
-                held = None
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            fresh = first | np.concatenate([[True], node[1:] != node[:-1]])
-            if held:
-                fresh[1] = False  # its last node is there for comparison alone
-            key, node, first = key[fresh], node[fresh], first[fresh]
-            starts = np.flatnonzero(first)
-            lengths = np.diff(np.concatenate([starts, [len(key)]]))
-            star, many = np.repeat(node[starts], lengths), np.repeat(lengths, lengths) > 1
-            given = many.copy()
-            if held:
-                given[0] = many[0] and not held[3]
-                many[0] |= held[3]
-            out_of_last = bool(lengths[-1] > 1 or (held and len(starts) == 1 and held[3]))
-            held = (int(key[-1]), int(star[-1]), int(node[-1]) if lengths[-1] > 1 or not held or len(starts) > 1 else held[2], out_of_last)
-            yield pa.RecordBatch.from_arrays([pa.array(x[given], pa.int64()) for x in (key, node, star)], schema=out)
-
-    return ordered.mapInArrow(run, "key long, node long, star long")
+            started, given_before = held is not None, done
+            if started:
+                t = [np.concatenate(x) for x in zip(held, t, strict=True)]
+            differs = [np.concatenate([[True], x[1:] != x[:-1]]) for x in t]
+            fresh = differs[0] | differs[1] | differs[2]
+            t = [x[fresh] for x in t]
+            starts = np.flatnonzero(differs[0][fresh])
+            lengths = np.diff(starts, append=len(t[0]))
+            given = np.repeat(lengths > 1, lengths)
+            if not started:
+                given[: lengths[0]] = True
+            done = bool(given[-1] or (given_before and len(given) == 1))
+            if given_before:
+                given[0] = False
+            held = [x[-1:] for x in t]
+            yield pa.RecordBatch.from_arrays([pa.array(x[given]) for x in t], schema=out)
+        if held is not None and not done:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], schema=out)
+
+    return ordered.mapInArrow(run, "key long, node long, check long")
 
 
 def _across(rows: DataFrame, measure: Measure) -> DataFrame:
-    """Candidates (a, b) among rows(key, size, node, comp, n, short) that share a key and lie in different components.
+    """Candidates (a, b) among rows(key, size, num, comp, n, short) that share a key and lie in different components.
 
     A key's rows are dealt to blocks of about BLOCK rows and every pair of blocks meets by itself, so that no group
     has more than two blocks; what leaves it is pairs with near sketches only.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = dealt.withColumn("m", F.explode(meets)).select("key", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "node", "comp", "n", "short")
+    dealt = dealt.withColumn("m", F.explode(meets)).select("key", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "num", "comp", "n", "short")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -295,7 +317,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
     """The columns of consecutive whole groups; a group that ends a batch may go on in the next one."""
     held = None
     for batch in batches:
-        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "block", "node", "comp", "n")}
+        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "block", "num", "comp", "n")}
         t["short"] = np.empty(batch.num_rows, object)
         t["short"][:] = batch.column("short").to_pylist()
         t = t if held is None else {c: np.concatenate([held[c], t[c]]) for c in t}
@@ -315,7 +337,7 @@ def _compared(t: dict[str, np.ndarray], measure: Measure) -> tuple[np.ndarray, n
     starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(t["key"])]])
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        node, comp, n, block, short = (t[c][lo:hi] for c in ("node", "comp", "n", "block", "short"))
+        node, comp, n, block, short = (t[c][lo:hi] for c in ("num", "comp", "n", "block", "short"))
         i, j = t["i"][lo], t["j"][lo]
         if comp.min() == comp.max():
             continue
@@ -351,19 +373,22 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     measure = Measure(width, num, den)
     docs = fold(docs, id_col, text_col)
     table = spool(_sketched(docs, measure))
-    facts = spool(table.select("doc_id", "node", "n_shingles"))
-    nodes = spool(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short")))
-    rows = spool(_shared(table.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))))
+    name = ["node", "check"]
+    some = table.where("n_shingles > 0")
+    nodes = some.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
+    nodes = spool(nodes.withColumn("num", F.monotonically_increasing_id()))
+    facts = spool(table.select("doc_id", *name, "n_shingles").join(nodes.select(*name, "num"), name, "left").drop(*name))
+    rows = spool(_shared(some.select(F.explode("keys").alias("key"), *name)).join(nodes.select(*name, "num"), name).select("key", "num"))
     discard(table)
-    light = nodes.select("node", "n", "short")
+    light = nodes.select("num", "n", "short")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
-        a, b = (light.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}")) for c in "ab")
+        a, b = (light.select(F.col("num").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b")
 
     def labelled(frame: DataFrame) -> DataFrame:
         found = small_or_shuffled(labels.select(F.col("node").alias("__node"), "comp"))
-        return frame.join(found, frame.node == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("__node")
+        return frame.join(found, frame.num == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "num")).drop("__node")
 
     def apart(pairs: DataFrame) -> DataFrame:
         a, b = (small_or_shuffled(labels.select(F.col("node").alias(f"__{c}"), F.col("comp").alias(f"c{c}"))) for c in "ab")
@@ -371,21 +396,22 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         return found.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
     def against_stars(rows: DataFrame) -> DataFrame:
-        pairs = rows.where("node <> star").select(F.greatest("node", "star").alias("a"), F.least("node", "star").alias("b")).distinct()
+        pairs = rows.where("num <> star").select(F.greatest("num", "star").alias("a"), F.least("num", "star").alias("b")).distinct()
         return spool(_near(with_sketches(pairs), measure))
 
-    tried = against_stars(rows)
+    stars = rows.groupBy("key").agg(F.min(F.struct(_turn().alias("h"), "num"))["num"].alias("star"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    tried = against_stars(rows.join(stars.select("key", "star"), "key"))
     links = _linked(tried, nodes, docs, measure)
     labels = components(links)
     for last in (False, True):
         # keys whose rows still lie in different components; once more with another star, then all pairs of these.
         # Of two rows one was the other's star: those are done.
-        placed = labelled(rows.select("key", "node"))
-        other = F.lit(None) if last else F.max(F.struct(_turn().alias("h"), F.col("node").alias("node")))["node"]
+        placed = labelled(rows)
+        other = F.lit(None) if last else F.max(F.struct(_turn().alias("h"), "num"))["num"]
         still = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"), other.cast("long").alias("star"))
         still = spool(still.where("c1 < c2 AND size > 2").select(F.col("key").alias("__key"), "size", "star"))
         left = placed.join(small_or_shuffled(still), F.col("key") == F.col("__key"))
-        more = _across(left.select("key", "size", "node", "comp").join(light, "node"), measure) if last else against_stars(left)
+        more = _across(left.select("key", "size", "num", "comp").join(light, "num"), measure) if last else against_stars(left)
         more = spool(more.join(tried, ["a", "b"], "left_anti"))
         for one_each in (True, False):  # sets of one pair for each two components, then of the pairs still apart
             rest = apart(more)
@@ -397,7 +423,8 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             links = links.union(_linked(rest, nodes, docs, measure))
             labels = components(links)
         tried = tried.union(more)
-    member = spool(labelled(facts.select("doc_id", "node", "n_shingles")))
+    discard(rows)
+    member = spool(labelled(facts))
     smallest = spool(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("smallest")).withColumnRenamed("comp", "__comp"))
     found = member.join(smallest, F.col("comp") == F.col("__comp"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
@@ -408,6 +435,9 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     Groups are those of row numbers, so ids may repeat or be null.
     """
+    if has_unique(docs, id_col):
+        groups = near_groups(docs, width, num, den, id_col, text_col)
+        return without(docs, groups.where("doc_id <> component_id").select("doc_id"), id_col)
     docs = numbered(docs)
     groups = near_groups(docs, width, num, den, ROW, text_col).select(F.col("doc_id").alias("row"), "component_id")
     groups = spool(groups.join(docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id")), "row"))

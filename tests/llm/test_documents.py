@@ -192,21 +192,51 @@ def test_pigeonhole_never_misses():
                 assert np.bitwise_count(x ^ y).sum() <= either - both <= measure.furthest(len(a) + len(b))
 
 
-@pytest.mark.parametrize("batch", ["3", "10000"])
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
 def test_shared_keys_over_batches(spark, batch):
     import random
 
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(5)
-    rows = [(rng.randint(0, 8), rng.randint(0, 30)) for _ in range(400)]
-    got = near_join._shared(spark.createDataFrame(rows, "node long, key long")).collect()
+    rows = [(rng.choice([7, 7, 7, rng.randint(0, 60)]), rng.randint(0, 40), rng.randint(0, 1)) for _ in range(400)]
+    got = [tuple(r) for r in near_join._shared(spark.createDataFrame(rows, "key long, node long, check long")).collect()]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     by = collections.defaultdict(set)
-    for n, k in rows:
-        by[k].add(n)
-    assert sorted((r.key, r.node) for r in got) == sorted((k, n) for k, v in by.items() if len(v) > 1 for n in v)
-    assert all(r.star in by[r.key] for r in got) and len({(r.key, r.star) for r in got}) == len({r.key for r in got})
+    for r in rows:
+        by[r[0]].add(r)
+    many = {r for v in by.values() if len(v) > 1 for r in v}
+    assert len(got) == len(set(got)) and many <= set(got) <= set(rows) and len(set(got) - many) <= 2 * 4  # first and last keys of 4 partitions
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(60)]
+    near = lambda some, i: " ".join([*some[:i], "edit", *some[i + 1 :]])
+    rows = [(7, " ".join(words)), (None, near(words, 59)), (None, near(other, 59)), (None, " ".join(other)), (9, "one row alone"), (9, " ".join(words)), (4, near(words, 0))]
+    got = [(r.doc_id, r.component_id) for r in near_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(7, 4), (None, 4), (None, None), (None, None), (9, 9), (9, 4), (4, 4)], key=str)
+
+
+@pytest.mark.parametrize("num", [20, 50, 80, 95, 100])
+def test_pigeonhole_of_any_threshold(num):
+    import numpy as np
+
+    measure = near_join.Measure(4, num, 100)
+    sketcher, rng = near_join.Sketcher(measure), np.random.default_rng(num)
+    hit = 0
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 5, 9, 20, 60, 200]))
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 2, dtype=np.uint64))
+        rng.shuffle(pool)
+        a = np.sort(pool[:n])
+        lost, more = (int(rng.integers(0, max(1, n * (100 - num) // 100) + 1)) for _ in range(2))
+        b = np.sort(np.concatenate([pool[min(lost, n - 1) : n], pool[n : n + more]]))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * both >= num * either:
+            hit += 1
+            assert np.intersect1d(sketcher.keys(a), sketcher.keys(b)).size
+    assert hit > 300
 
 
 def test_components(spark):
