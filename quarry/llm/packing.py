@@ -1,8 +1,9 @@
 """Packing documents into token sequences of a fixed capacity, with certified bin counts.
 
 Rounds of best-fit decreasing over groups of bounded size. After each, dual-feasible functions give a lower bound of
-the group's bin count. A group that meets its bound is done. A group with a gap keeps its well-filled bins and gives
-up the worst-filled ones; what the groups give up is dealt anew to fewer groups and packed again.
+the group's bin count. A group that meets its bound keeps all but its two worst-filled bins, one with a gap gives up
+more of them; what the groups give up is dealt anew to fewer groups and packed again. A group that is alone exchanges
+pieces between its own bins, until it meets its bound or exchanges gain nothing.
 """
 
 from __future__ import annotations
@@ -24,15 +25,30 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces in a group on average, and a group's bins that are given up for each bin of its gap.
 GROUP_ROWS, GIVEN_UP = 8192, 24
-ROUNDS = 6
+#: Pieces that a group grows to, where groups of GROUP_ROWS keep giving up nearly all of their bins.
+MOST_GROUP_ROWS = 1 << 18
+#: Pieces of one exchange inside a group, and exchanges in a row that gain nothing before it is left as it is.
+EXCHANGED, IDLE = 600, 12
 
 
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     """Text to ids, as the tokenizer file says, without special tokens being added.
 
     A plain byte-level file whose ids are its merge ranks is run by the rank encoder, which gives the same ids
-    sooner; any other file by the library that the file belongs to.
+    sooner; any other file by the library that the file belongs to, and so are texts on which the rank encoder's
+    regular expressions give out, such as a million blanks.
     """
+    library = []
+
+    def by_library(text: str) -> list[int]:
+        if not library:
+            import tokenizers
+
+            library.append(tokenizers.Tokenizer.from_str(vocabulary))
+            library[0].no_truncation()
+            library[0].no_padding()
+        return library[0].encode(text, add_special_tokens=False).ids
+
     spec = json.loads(vocabulary)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
@@ -49,13 +65,15 @@ def encoder(vocabulary: str) -> Callable[[str], list[int]]:
             import tiktoken
 
             coder = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-            return lambda text: coder.encode(text, allowed_special="all")
-    import tokenizers
 
-    library = tokenizers.Tokenizer.from_str(vocabulary)
-    library.no_truncation()
-    library.no_padding()
-    return lambda text: library.encode(text, add_special_tokens=False).ids
+            def by_ranks(text: str) -> list[int]:
+                try:
+                    return coder.encode(text, allowed_special="all")
+                except ValueError:  # its stack is too small for this text
+                    return by_library(text)
+
+            return by_ranks
+    return by_library
 
 
 def tokenised(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
@@ -128,6 +146,65 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, room
 
 
+def _filled(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins (positions in lengths): each has the largest piece left, and of the others those that fill it best."""
+    left: dict[int, list[int]] = {}
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        left.setdefault(int(lengths[i]), []).append(i)
+    bins = []
+    while left:
+        size = next(iter(left))
+        inside = [left[size].pop()]
+        room = capacity - size
+        sums, mask = [1], (1 << (room + 1)) - 1  # bit s: some of the pieces so far add up to s
+        items = [(n, k) for n, some in left.items() if n <= room for k in range(min(len(some), room // n))]
+        for n, _ in items:
+            sums.append((sums[-1] | sums[-1] << n) & mask)
+        at = sums[-1].bit_length() - 1
+        for j in range(len(items) - 1, -1, -1):
+            if not sums[j] >> at & 1:
+                inside.append(left[items[j][0]].pop())
+                at -= items[j][0]
+        bins.append(inside)
+        left = {n: some for n, some in left.items() if some}
+    return bins
+
+
+def tightened(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, room: list[int], capacity: int, bound: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The packing after exchanges: the pieces of the worst-filled bins and of some others, by chance, are packed anew.
+
+    Ends when bound is met or IDLE exchanges in a row have gained nothing: neither a bin nor a fuller set of bins.
+    """
+    rng, idle = np.random.default_rng(seed), 0
+    order = np.argsort(bins, kind="stable")
+    held = np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)
+    rooms = np.array(room)
+    while len(held) > bound and idle < IDLE:
+        worst = np.argsort(-rooms, kind="stable")
+        first = max(2, min(len(held) // 2, GIVEN_UP))
+        chosen, n = [], 0
+        for b in np.concatenate([worst[:first], rng.permutation(worst[first:])[:EXCHANGED]]).tolist():
+            if n + len(held[b]) > EXCHANGED and len(chosen) >= 2:
+                break
+            chosen.append(b)
+            n += len(held[b])
+        pieces = np.concatenate([held[b] for b in chosen])
+        anew = [pieces[b] for b in _filled(lengths[pieces], capacity)]
+        left = np.array([capacity - int(lengths[b].sum()) for b in anew])
+        gains = len(chosen) - len(anew)
+        idle = 0 if gains > 0 else idle + 1
+        if gains > 0 or (gains == 0 and (left**2).sum() > (rooms[chosen] ** 2).sum()):
+            gone = set(chosen)
+            held = [h for b, h in enumerate(held) if b not in gone] + anew
+            rooms = np.concatenate([np.delete(rooms, chosen), left])
+    bins, offsets, room = bins.copy(), offsets.copy(), []
+    for b, inside in enumerate(held):
+        ends = np.cumsum(lengths[inside])
+        bins[inside], offsets[inside] = b, ends - lengths[inside]
+        room.append(capacity - int(ends[-1]))
+    return bins, offsets, room
+
+
 def _round(loose: DataFrame, groups: int, number: int, last: bool, capacity: int) -> DataFrame:
     """row, length, sequence_id, offset, settled of one round."""
     dealt = loose.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups)))
@@ -136,10 +213,14 @@ def _round(loose: DataFrame, groups: int, number: int, last: bool, capacity: int
         t = t.sort_values("row")
         lengths = t["length"].to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
-        gap = len(room) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        if last and len(room) > bound:
+            bins, offsets, room = tightened(lengths, bins, offsets, room, capacity, bound, number)
+        gap = len(room) - bound
         settled = np.ones(len(room), bool)
-        if gap > 0 and not last:
-            settled[np.argsort(-np.array(room), kind="stable")[: GIVEN_UP * (gap + 1)]] = False
+        if not last:  # bounds are whole bins: a group that meets its own has up to one bin of room, which others may fill
+            worst = np.argsort(-np.array(room), kind="stable")[: GIVEN_UP * (gap + 1) if gap > 0 else 2]
+            settled[worst[np.array(room)[worst] > 0]] = False
         first = (number << 56) + (int(t["part"].iloc[0]) << 24)
         return pd.DataFrame({"row": t["row"].to_numpy(), "length": lengths, "sequence_id": first + bins, "offset": offsets, "settled": settled[bins]})
 
@@ -151,25 +232,25 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: in
 
     A document is its text's ids and end_id; only one longer than capacity is cut, into pieces of capacity of which
     the first may be shorter. A sequence's pieces follow one another from offset 0 without gaps. Null and empty
-    texts are one piece of one id. Repeated rows are documents of their own; an empty table gives an empty result;
-    columns other than the two named are ignored.
+    texts are one piece of one id. Very long texts are taken whole, at the memory of one text. Repeated rows are
+    documents of their own, pieces of equal lengths are placed in the order of their rows; an empty table gives an
+    empty result; columns other than the two named are ignored.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
     pieces = spool(tokenised(fold(docs, id_col, text_col), vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     loose = pieces.where(F.col("length") < capacity).select("row", "length")
-    places = []
-    for number in range(ROUNDS):
-        n = loose.count()
-        if not n:
-            break
-        groups = -(-n // GROUP_ROWS)
-        last = groups == 1 or number == ROUNDS - 1
+    places, number, size, before = [], 0, GROUP_ROWS, 0
+    while n := loose.count():
+        # groups that gave up more than half of their pieces are too small to meet their bounds
+        size = min(MOST_GROUP_ROWS, 2 * size) if 2 * n > before > 0 else size
+        groups = -(-n // size)
+        last = groups == 1 or (size == MOST_GROUP_ROWS and 2 * n > before > 0)
         packed = spool(_round(loose, groups, number, last, capacity))
         places.append(packed.where("settled").select(F.col("row").alias("__row"), "sequence_id", "offset"))
-        loose = packed.where("NOT settled").select("row", "length")
         if last:
             break
+        loose, before, number = packed.where("NOT settled").select("row", "length"), n, number + 1
     full = F.col("length") == capacity
     whole = pieces.where(full).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     result = whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -116,6 +116,68 @@ def test_pack_covers_every_document(spark, awkward):
     assert packing.pack(awkward.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_exchanges_gain_bins():
+    rng, gained = random.Random(9), 0
+    for seed in range(40):
+        capacity = 100
+        lengths = np.array([n for _ in range(25) for n in (lambda a, b: (a, b, 100 - a - b))(rng.randint(20, 45), rng.randint(20, 45))])
+        bins, offsets, room = packing.best_fit_decreasing(lengths, capacity)
+        bound = packing.lower_bound(lengths, capacity)
+        after, places, left = packing.tightened(lengths, bins, offsets, room, capacity, bound, seed)
+        gained += len(room) - len(left)
+        assert bound <= len(left) <= len(room)
+        for b in range(len(left)):
+            inside = sorted(zip(places[after == b].tolist(), lengths[after == b].tolist(), strict=True))
+            assert sum(n for _, n in inside) == capacity - left[b] and all(o == sum(n for _, n in inside[:i]) for i, (o, _) in enumerate(inside))
+    assert gained >= 20
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n" * 1_200_000, "a" + " \t" * 400_000 + "b"], ids=["blanks", "lines", "mixed"])
+def test_long_white_space(text, coder, piece_counts):
+    import tokenizers
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        ids = packing.encoder(f.read())(text)
+    assert ids == tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert coder[0].decode(coder[0].encode(text)) == text.encode()
+    assert token_count.count_tokens(text, piece_counts[0]) == len(piece_counts[1].encode(text))
+
+
+def test_pack_query_equals_the_library(spark, sf_dir):
+    import zlib
+
+    import tokenizers
+
+    from quarry.llm import queries
+
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in queries.op9_best_fit_packing(spark, sf_dir).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        n = max(1, -(-len(ids) // 2048))
+        ends = [len(ids) - 2048 * (n - 1 - i) for i in range(n)]
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            want[(r.doc_id, i)] = (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    assert rows == want
+
+
+def test_whole_tables_equal_the_libraries(spark, sf_dir):
+    import sentencepiece
+    import tiktoken
+
+    from quarry.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op2_token_counts(spark, sf_dir).collect()}
+    assert counted == {i: (len(t.encode()), n := len(pieces.encode(t)), n > 4096) for i, t in texts.items()}
+    ranks = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    coded = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_byte_bpe(spark, sf_dir).collect()}
+    ids = {i: np.array(ranks.encode_ordinary(t), "<u4") for i, t in texts.items()}
+    assert coded == {i: (len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()) for i, x in ids.items()}
+
+
 def test_groups_exchange_until_the_bound(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 40)
     rows = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_50k.json")).collect()
