@@ -46,32 +46,42 @@ def intervals(events: DataFrame) -> DataFrame:
     return latest.withColumn("valid_to", F.lead("at").over(later)).where("action = 'add'").select("list_id", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """Patterns that would match: each domain from the host upwards, and the host with each prefix of its path.
+def depths_of(patterns: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels of the patterns that are hosts alone, and of slashes of those with a path: a few small numbers."""
+    slashes = F.length("pattern") - F.length(F.regexp_replace("pattern", "/", ""))
+    dots = F.length("pattern") - F.length(F.regexp_replace("pattern", r"\.", ""))
+    rows = patterns.select(slashes.alias("slashes"), F.when(slashes == 0, dots + 1).otherwise(0).alias("labels")).distinct().collect()
+    return sorted({r.labels for r in rows if not r.slashes}), sorted({r.slashes for r in rows if r.slashes})
 
-    Prefixes end before or after a slash, or are the whole path.
+
+def keys_of(host: Column, path: Column, depths: tuple[list[int], list[int]]) -> Column:
+    """Patterns of these depths that would match: domains from the host upwards, and the host with prefixes of its path.
+
+    Prefixes end before or after a slash, or are the whole path. Each depth costs one pass over the url.
     """
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.array_join(F.slice(steps, 1, i), "/")))
-    closed = F.transform(F.filter(prefixes, lambda p, i: i < F.size(prefixes) - 1), lambda p: F.concat(p, F.lit("/")))
-    return F.array_distinct(F.concat(domains, prefixes, closed))
+    labels, slashes = depths
+    n_labels = F.length(host) - F.length(F.regexp_replace(host, r"\.", "")) + 1
+    n_slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
+    domains = [F.when(n_labels >= k, F.substring_index(host, ".", -k)) for k in labels]
+    opened = [F.when(n_slashes >= k, F.concat(host, F.substring_index(path, "/", k + 1))) for k in slashes]
+    closed = [F.when(n_slashes >= k, F.concat(host, F.substring_index(path, "/", k), F.lit("/"))) for k in slashes]
+    return F.array_distinct(F.array_compact(F.array(*domains, *opened, *closed).cast("array<string>")))
 
 
 def filtered(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """Per row of captures: page_id, url, host, fetched_at, blocked, n_entries, first_list (the smallest list_id).
 
     Captures are first reduced to distinct (url, time), so that a page fetched over and over is looked up once; the
-    lookup table and the verdicts are written down before they are joined, which lets hot hosts be split. A null
-    or malformed url or a null time matches nothing. Repeated rows each give a row, an empty table an empty result;
-    columns other than those named are ignored.
+    lookup table and the verdicts are written down before they are joined, which lets hot hosts be split. A url
+    is cut only at the depths that the lists have, so that a very long one costs no more than its length a depth.
+    A null or malformed url or a null time matches nothing. Entries of one time and place each count. Repeated rows
+    each give a row, an empty table an empty result; columns other than those named are ignored.
     """
     base = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched_at"))
     asked = base.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
     asked = asked.withColumn("host", host_of(F.col("url"))).where("host IS NOT NULL")
-    asked = asked.select("url", "fetched_at", F.explode(keys_of(F.col("host"), path_of(F.col("url")))).alias("key"))
     valid = spool(intervals(events))
+    asked = asked.select("url", "fetched_at", F.explode(keys_of(F.col("host"), path_of(F.col("url")), depths_of(valid))).alias("key"))
     active = (F.col("key") == F.col("pattern")) & (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = asked.join(valid, active).groupBy("url", "fetched_at").agg(F.count(F.lit(1)).alias("n"), F.min("list_id").alias("first_list"))
     hits = spool(hits.select(F.col("url").alias("__url"), F.col("fetched_at").alias("__at"), "n", "first_list"))
