@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ROW, numbered, spool, without
+from quarry.llm.common import ROW, has_unique, numbered, small_or_shuffled, spool, without
 
 #: What counts as white space (fixed values).
 BLANK = r"\x20\x09-\x0D"
@@ -23,36 +23,57 @@ def normalised(text: Column) -> Column:
 
 
 def shared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key another row has too. The keys are counted before any row moves."""
-    repeated = rows.groupBy(*key).count().where("count > 1").select(*key)
-    return rows.join(repeated, key, "left_semi")
+    """The rows whose key another row has too.
+
+    Keys are counted before any row moves, and rows don't move at all while the repeated keys are few enough to be
+    broadcast; beyond that by a shuffle, where a hot key's rows are split.
+    """
+    names = [F.col(k).alias(f"__{k}") for k in key]
+    repeated = spool(rows.groupBy(*key).count().where("count > 1").select(*names))
+    same = [F.col(k) == F.col(f"__{k}") for k in key]
+    return rows.join(small_or_shuffled(repeated), same, "left_semi")
+
+
+#: Places of the bitmap that marks keys worth reading texts for: 16 MB whatever the table's size.
+MARKS = 1 << 27
+
+
+def marked(keys: DataFrame) -> DataFrame:
+    """A bitmap of keys(mark) in rows (__bucket, __bits) of 32,768 places each."""
+    return keys.groupBy(F.bitmap_bucket_number("mark").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("__bits"))
+
+
+def is_marked(docs: DataFrame, mark: Column, bitmap: DataFrame) -> DataFrame:
+    """The rows of docs whose mark is set, and no others; docs stay where they are, the bitmap has a fixed size."""
+    held = docs.withColumn("__mark", mark).join(F.broadcast(bitmap), F.bitmap_bucket_number("__mark") == F.col("__bucket"))
+    place = F.bitmap_bit_position("__mark")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return held.where(F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("__mark", "__bucket", "__bits")
 
 
 def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256; row_col too, if it names unique row numbers.
 
     Texts are equal if their normalised forms are. The row with the smallest id stays; null ids come last, and of
-    rows with one id and one text exactly one stays. Null texts equal empty ones. With digest_all the digest of
-    every row is taken while its length is; otherwise full texts are read again, for surviving groups alone, and
-    text_sha256 is null for rows that no other row resembles. Columns other than the two named are ignored.
+    rows with one id and one text exactly one stays. Null texts equal empty ones; very long texts are hashed whole.
+    With digest_all the digest of every row is taken while its length is; otherwise full texts are read again, for
+    surviving groups alone, and text_sha256 is null for rows that no other row resembles. An empty table gives an
+    empty result. Columns other than the two named are ignored.
     """
-    text = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
+    if not digest_all and not row_col:  # texts are read twice: rows need names
+        docs = numbered(docs)
+    row = F.col(row_col or ROW) if row_col or not digest_all else F.monotonically_increasing_id()
+    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), row.alias("row"))
     digest = F.sha2(F.col("norm").cast("binary"), 256)
-    facts = base.select(
-        "doc_id",
-        F.octet_length("norm").cast("long").alias("length"),
-        F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"),
-        (digest if digest_all else F.lit(None).cast("string")).alias("text_sha256"),
-        (F.col("row") if row_col else F.monotonically_increasing_id()).alias("row"),
-    )
-    facts = spool(facts)
+    length, prefix = F.octet_length("norm").cast("long"), F.xxhash64(F.substring("norm", 1, prefix_chars))
+    facts = spool(base.select("doc_id", length.alias("length"), prefix.alias("prefix"), "row", *([digest.alias("text_sha256")] if digest_all else [])))
 
     survivors = shared(shared(facts, ["length"]), ["length", "prefix"])
     if not digest_all:
-        wanted = spool(survivors.select("doc_id").distinct())
-        digests = base.join(wanted, "doc_id", "left_semi").select("doc_id", F.octet_length("norm").cast("long").alias("length"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), digest.alias("text_sha256")).distinct()
-        facts = spool(facts.drop("text_sha256").join(digests, ["doc_id", "length", "prefix"], "left"))
+        mark = lambda n, p: F.pmod(F.xxhash64(n, p), F.lit(MARKS)) + 1
+        bitmap = spool(marked(survivors.select(mark(F.col("length"), F.col("prefix")).alias("mark"))))
+        digests = spool(is_marked(base, mark(length, prefix), bitmap).select(F.col("row").alias("__row"), digest.alias("text_sha256")))
+        facts = facts.join(digests, F.col("row") == F.col("__row"), "left").drop("__row")
         survivors = facts.where(F.col("text_sha256").isNotNull())
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
@@ -66,12 +87,17 @@ def classes(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True, i
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
-        *([F.col("row").alias(row_col)] if row_col else []),
+        *([F.col("row").alias(row_col)] if row_col and row_col != "doc_id" else []),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that classes() drops; rows go by numbers, so ids may repeat or be null."""
-    docs = numbered(docs)
-    gone = classes(docs, id_col=id_col, text_col=text_col, row_col=ROW).where("NOT kept")
-    return without(docs, gone.select(F.col(ROW).alias("doc_id")), ROW).drop(ROW)
+    """docs without the rows that classes() drops, by progressive refinement: only survivors' full texts are hashed.
+
+    Rows go by their ids if these are unique, else by numbers: ids may repeat or be null, and of repeated rows one
+    stays. Null and empty texts are equal. All columns are kept, whatever their names; an empty table stays empty.
+    """
+    row = id_col if has_unique(docs, id_col) else ROW
+    docs = docs if row == id_col else numbered(docs)
+    gone = classes(docs, digest_all=False, id_col=id_col, text_col=text_col, row_col=row).where("NOT kept")
+    return without(docs, gone.select(F.col(row).alias("doc_id")), row).drop(ROW)
