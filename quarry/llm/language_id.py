@@ -56,29 +56,31 @@ class LanguageModel:
 
 
 def fit(
-    docs: DataFrame, rows_per_language: int = 600, dictionary_bytes: int = 96_000, level: int = 9, min_margin: float = 0.01,
+    docs: DataFrame, rows_per_language: int = 600, dictionary_bytes: int = 96_000, level: int = 9, min_margin: float = 0.01, most_languages: int = 500,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> LanguageModel:
     """Dictionaries from a bounded sample: rows_per_language rows of each language, those with the smallest hashes of
-    their ids, and an excerpt of each from a place that the hash chooses. Held-out rows and null labels are left out.
-    The sample is found from ids and labels alone; texts are then read for its rows only.
+    their ids, and an excerpt of each from a place that the hash chooses. Held-out rows and null labels are left out,
+    and so are languages beyond the most_languages most frequent ones (of equally frequent ones the last by name).
+    The sample is found from ids and labels alone, by a bound on the hash for each language: no row moves but the few
+    below it. Texts are then read for the sample only. Of an id's several texts the smallest excerpt counts.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where(F.col(lang_col).isNotNull() & ~is_held_out(F.col(id_col)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where(F.col(lang_col).isNotNull() & ~is_held_out(F.col(id_col)))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "lang"))
-    sizes = rows.groupBy("lang").count()
-    near = rows.join(sizes, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("count") <= 2.0 * rows_per_language + 50)
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sample = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id", "lang", "h").distinct()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * rows_per_language + 50) / r["count"]) for r in sizes], "lang string, share double")
+    near = rows.join(F.broadcast(bounds), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "h", "doc_id").distinct()
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")  # 2 * rows_per_language + 50 ids a language are expected here
+    sample = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_language).select("doc_id", "lang", "h")
     width = max(200, dictionary_bytes // rows_per_language)
     text = F.col("text")
     start = F.pmod(F.col("h"), F.greatest(F.length(text) - width, F.lit(1))) + 1
     excerpts = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(sample), ["doc_id", "lang"])  # rows_per_language rows a language, ids only
         .where(text.isNotNull())
-        .select("lang", "h", "doc_id", F.substring(text, start.cast("int"), F.lit(width)).alias("text"))
-        .distinct()
-    )
+        .groupBy("lang", "h", "doc_id").agg(F.min(F.substring(text, start.cast("int"), F.lit(width))).alias("text"))
+    )
     parts: dict[str, dict[str, None]] = {}
     for row in sorted(excerpts.collect(), key=lambda r: (r.lang, r.h, str(r.doc_id), r.text)):
         parts.setdefault(row.lang, {})[row.text.lower()] = None
@@ -87,7 +89,7 @@ def fit(
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, lang_pred, score (0 to 1), margin, rejected. No shuffle; texts are taken whole.
+    """Per row of docs: doc_id, lang_pred, score (0 to 1), margin, rejected. No shuffle; texts are taken whole, however long.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned. Of
     languages with equal sizes the first by name is taken (and the row is rejected). Repeated rows each give a row,
