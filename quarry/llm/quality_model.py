@@ -132,12 +132,15 @@ def fit(
     n_chars_col: str | None = "n_chars", label_col: str = "quality",
 ) -> FactorisationMachine:
     """Trained on a bounded sample: of the labelled rows that aren't held out, sample_rows with the smallest hashes of
-    their ids. Vectors are made on the executors; only those of the sample reach the driver. Labels other than 0 and
-    1 are left out, and of a document with several labels the smallest counts.
+    their ids. Vectors are made on the executors; only those of the sample, one for an id, reach the driver. Labels other
+    than 0 and 1 are left out, of a document with several labels the smallest counts, of an id with several rows the
+    smallest text.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = _rows(docs, id_col, text_col, n_chars_col).join(F.broadcast(sample), "doc_id")  # sample_rows rows of two numbers
+    one = chosen.groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("d"))  # an id may have several rows
+    chosen = one.select("doc_id", "d.text", "d.n_chars", "label")
 
     def make():
         places: dict[str, int] = {}
@@ -151,8 +154,8 @@ def fit(
     out = pa.schema([("doc_id", pa.string()), ("label", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())])
     got = chosen.select(F.col("doc_id").cast("string"), "text", "n_chars", "label").mapInArrow(per_row(out, make), "doc_id string, label int, ids binary, x binary").collect()
     got.sort(key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id, bytes(r.ids), bytes(r.x)))
-    rows = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(np.float64)) for r in got[: 2 * sample_rows]]
-    return train(rows, np.array([r.label for r in got[: 2 * sample_rows]], np.float64))
+    rows = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(np.float64)) for r in got]
+    return train(rows, np.array([r.label for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
@@ -180,7 +183,11 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5,
 
 
 def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
-    """The rows of docs, with all their columns, that score threshold or more. No shuffle."""
+    """The rows of docs, with all their columns, that score threshold or more. No shuffle.
+
+    Each row is judged by itself: null and empty texts by their statistics, repeated rows alike, texts whole. Without a
+    column n_chars it counts as missing; other columns may have any names. An empty table stays empty.
+    """
     has_n_chars = n_chars_col in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
