@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import bound
+from quarry.llm.common import small_or_shuffled
+
 BLANK = r"\x20\x09-\x0D"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -23,11 +26,6 @@ STEPS = 1024
 NEUTRAL = 20
 
 
-def bound(value: Column, body) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{BLANK}]+"), "")
 
@@ -65,14 +63,14 @@ def grams(hashes: Column, places: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame, places: int, prior: float, id_col: str, text_col: str) -> list[int]:
-    """log(p_target / p_raw) by place, in STEPS to the nat. All documents count; target_ids has a proven bound.
+    """log(p_target / p_raw) by place, in STEPS to the nat. All documents count, and all of target_ids.
 
     The target's multinomial has the raw one as its prior, worth prior grams a place: where little is known of the
     target the ratio is near 0, and documents of the target aren't favoured for their rare words.
 
     Counted by place on the executors; what reaches the driver is one pair of counts for each of the places.
     """
-    held = F.broadcast(target_ids.select(F.col("doc_id").alias("__id")).distinct())
+    held = small_or_shuffled(target_ids.select(F.col("doc_id").alias("__id")).distinct())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(held, F.col("doc_id") == F.col("__id"), "left")
     # the outer form, since the other one makes Catalyst compute the array once more, for a filter
@@ -131,19 +129,21 @@ class Rules:
         return (found["n_words"] < self.min_words) | (100 * found["n_repeat_words"] > self.max_repeated * found["n_words"])
 
     def keeps(self, text: Column) -> Column:
-        """The verdict as one expression, for a filter."""
+        """The verdict as one expression, for a filter.
+
+        Null and empty texts fail; equal texts are judged alike; texts are taken whole; no column is needed but the text.
+        """
         return bound(facts(text, self.ratios, self.places), lambda f: ~self.failed(f) & (f["llr"] >= self.threshold))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, threshold: float = -0.06, places: int = 1 << 14, prior: float = 20.0, target_rows: int = 50_000,
+    docs: DataFrame, labels: DataFrame, threshold: float = -0.06, places: int = 1 << 14, prior: float = 20.0,
     min_words: int = 10, max_repeated: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Rules:
-    """The target is the documents labelled 1, at most target_rows of them (those with the smallest hashes of their
-    ids); the raw corpus is every row of docs. Without labels all ratios are 0 and the counts alone decide.
+    """The target is all documents labelled 1; the raw corpus is every row of docs. Without labels all ratios are 0 and
+    the counts alone decide. Texts stay where they are while the trusted ids are few enough to be broadcast.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
     ratios = log_ratios(docs, trusted, places, prior, id_col, text_col)
     return Rules(constant(docs.sparkSession, ratios), places, threshold, min_words, max_repeated)
 
@@ -154,7 +154,7 @@ def judged(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str
     base_failed: fewer words than the rules ask for, or more than max_repeated percent of them in repeated windows.
     kept: not base_failed and llr >= threshold, a fixed number, so that equal texts are judged alike.
 
-    Null and empty texts have no words and fail. Repeated rows each give a row and each count in the corpus; an
+    Null and empty texts have no words and fail; very long texts are counted whole. Repeated rows each give a row and each count in the corpus; an
     empty table gives an empty result; columns other than those named are ignored.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), facts(F.col(text_col), rules.ratios, rules.places).alias("f"))
