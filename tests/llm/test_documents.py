@@ -39,6 +39,85 @@ def test_language_edges(spark, awkward):
     assert language_id.identify(awkward.limit(0), nothing).count() == 0 and language_id.fit(awkward.limit(0)).dictionaries == {}
 
 
+def test_language_query_equals_plain_version(spark, sf_dir):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang").alias("h")).collect()
+    excerpts = collections.defaultdict(list)
+    for r in sorted(docs, key=lambda r: (r.h, str(r.doc_id))):
+        if r.lang and not held_out(r.doc_id) and len(excerpts[r.lang]) < 600:
+            at = r.h % max(len(r.text) - 200, 1)
+            if (part := r.text[at : at + 200].lower()) not in excerpts[r.lang]:
+                excerpts[r.lang].append(part)
+    content = {lang: " ".join(some).encode()[-96_000:] for lang, some in sorted(excerpts.items())}
+    assert language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet")).dictionaries == content
+    coders = {lang: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for lang, c in content.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op1_language_id(spark, sf_dir).collect()}
+    for r in docs:
+        if not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        data = f" {r.text.lower()} ".encode()
+        sizes = {lang: len(coder.compress((content[lang][-192:-96] if len(data) < 256 else b"") + data)) for lang, coder in coders.items()}
+        best = min(sizes, key=lambda lang: (sizes[lang], lang))
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - 1 / sum(2.718281828459045 ** ((sizes[best] - n) / 4) for n in sizes.values())) < 1e-9
+
+
+def test_quality_query_equals_plain_version(spark, sf_dir):
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op5_quality_classifier(spark, sf_dir).collect()}
+    for r in docs.limit(60).collect():
+        ids, x = quality_model.features(r.text, r.n_chars, {})
+        v = model.factors[ids].astype(float) * x[:, None]
+        pairs = sum(float(v[i] @ v[i + 1 :].sum(0)) for i in range(len(ids) - 1))
+        score = 1 / (1 + math.exp(-(float(model.weights[ids] @ x) + pairs)))
+        assert abs(got[r.doc_id][0] - score) < 1e-4 and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.5)
+
+
+def test_training_equals_plain_version():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(30, 5, replace=False)), rng.normal(size=5)) for _ in range(20)]
+    labels = rng.integers(0, 2, 20).astype(float)
+    got = quality_model.train(rows, labels, rank=3, epochs=2, batch=8, seed=5)
+
+    rng = np.random.default_rng(5)
+    w, v = np.zeros(quality_model.PLACES), rng.normal(0, 0.02, (quality_model.PLACES, 3))
+    share = (labels.sum() + 0.5) / 21
+    w[quality_model.WORD_PLACES + quality_model.STATISTICS.index("bias")] = np.log(share / (1 - share))
+    theta = np.concatenate([w[:, None], v], 1)
+    m, s, step = np.zeros_like(theta), np.zeros_like(theta), 0
+    for _ in range(2):
+        order = rng.permutation(20)
+        for at in range(0, 20, 8):
+            chosen, g, used = order[at : at + 8], np.zeros_like(theta), set()
+            for i in chosen:
+                ids, x = rows[i]
+                margin = theta[ids, 0] @ x + sum(theta[ids[a], 1:] @ theta[ids[b], 1:] * x[a] * x[b] for a in range(5) for b in range(a))
+                error = (1 / (1 + np.exp(-margin)) - labels[i]) / len(chosen)
+                for a in range(5):
+                    g[ids[a], 0] += error * x[a]
+                    g[ids[a], 1:] += error * x[a] * sum(theta[ids[b], 1:] * x[b] for b in range(5) if b != a)
+                    used.add(int(ids[a]))
+            at_ = sorted(used)
+            g[at_] += 1e-5 * theta[at_]
+            step += 1
+            m[at_], s[at_] = 0.9 * m[at_] + 0.1 * g[at_], 0.999 * s[at_] + 0.001 * g[at_] ** 2
+            theta[at_] -= 0.02 * (m[at_] / (1 - 0.9**step)) / (np.sqrt(s[at_] / (1 - 0.999**step)) + 1e-8)
+    assert np.abs(got.weights - theta[:, 0]).max() < 1e-5 and np.abs(got.factors - theta[:, 1:]).max() < 1e-5
+
+
+def test_ids_with_several_rows_fit_once(spark, awkward, awkward_labels):
+    one = quality_model.fit(awkward, awkward_labels)
+    two = quality_model.fit(awkward.union(awkward), awkward_labels)
+    assert (one.weights == two.weights).all() and (one.factors == two.factors).all()
+    assert language_id.fit(awkward).dictionaries == language_id.fit(awkward.union(awkward)).dictionaries
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -106,6 +185,22 @@ def test_log_ratios_equal_brute_force(spark):
         assert got[p] == round(1024 * math.log((target[p] + 0.5 * places * share) / (5 + 0.5 * places) / share))
 
 
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    places, trusted = 1 << 14, {r.doc_id for r in labels.collect() if r.quality == 1}
+    rows = docs.select("doc_id", "text", quality_rules.grams(quality_rules.hashes_of(quality_rules.words_of(F.coalesce("text", F.lit("")))), places).alias("g")).collect()
+    raw, target = collections.Counter(p for r in rows for p in r.g), collections.Counter(p for r in rows if r.doc_id in trusted for p in r.g)
+    n_raw, n_target = sum(raw.values()) + places, sum(target.values()) + 20.0 * places
+    ratio = [round(1024 * math.log((target[p] + 20.0 * places * (raw[p] + 1) / n_raw) / n_target * n_raw / (raw[p] + 1))) for p in range(places)]
+    got = {r.doc_id: r for r in queries.op8_quality_rules(spark, sf_dir).collect()}
+    for r in rows:
+        llr, f = sum(ratio[p] for p in r.g) / ((len(r.g) + 20) * 1024), rules_of(r.text)
+        failed = f[0] < 10 or 100 * f[4] > 20 * f[0]
+        assert abs(got[r.doc_id].llr - llr) < 1e-9 and got[r.doc_id].kept == (not failed and llr >= -0.06)
+
+
 def test_exact_classes(spark, awkward):
     for digest_all in (True, False):
         rows = exact_dedup.classes(awkward, digest_all=digest_all).collect()
@@ -120,6 +215,26 @@ def test_exact_classes(spark, awkward):
     assert sorted((r.group_size, r.kept) for r in exact_dedup.classes(twice).collect()) == [(2, False), (2, True)]
 
 
+def test_refined_classes_by_rows(spark):
+    p = "p" * 300
+    rows = [(1, p + "a"), (1, p + "b"), (3, p + "c"), (None, p + "c"), (None, p + "c"), (4, p + "a"), (4, p + "a"), (5, None), (6, ""), (7, "alone"), (8, "x  y"), (9, "x\ty")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, __mark int, row int")
+    for digest_all in (True, False):
+        got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.classes(docs, digest_all=digest_all).collect())
+        assert got == collections.Counter([
+            (1, 1, 3, True), (1, 1, 1, True), (3, 3, 3, True), (None, 3, 3, False), (None, 3, 3, False), (4, 1, 3, False), (4, 1, 3, False),
+            (5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True), (8, 8, 2, True), (9, 8, 2, False),
+        ])
+    assert exact_dedup.deduplicated(docs).count() == 6 and exact_dedup.deduplicated(docs.where("doc_id > 4")).columns == docs.columns
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(docs.where("doc_id > 4")).collect()) == [5, 7, 8]
+
+
+def test_bitmap_marks_what_it_was_given(spark):
+    keys = spark.range(1, 200_000, 977).select(F.col("id").alias("mark"))
+    found = exact_dedup.is_marked(spark.range(1, 200_000), F.col("id"), exact_dedup.marked(keys))
+    assert sorted(r.id for r in found.collect()) == list(range(1, 200_000, 977))
+
+
 def brute_components(docs, width, num, den):
     sets, parent = {}, {}
     for i, text in docs:
@@ -260,6 +375,19 @@ def test_url_paths_keep_their_case(spark):
     assert {r.page_id: r.blocked for r in url_filter.filtered(captures, events).collect()} == {0: True, 1: False}
 
 
+def test_url_of_many_segments(spark):
+    import time
+
+    events = spark.createDataFrame([("a", "x.org/s0/s1/", "add", 1), ("b", "x.org/s0", "add", 1), ("c", "org", "add", 9), ("d", "a.b.x.org", "add", 1)], "list_id string, pattern string, action string, at long")
+    long = "/".join(f"s{i}" for i in range(10_000))
+    urls = [f"http://x.org/{long}", f"http://{'y.' * 10_000}x.org/s0", "http://a.b.x.org/" + "/" * 10_000]
+    captures = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, fetched_at long")
+    url_filter.filtered(captures, events).collect()
+    began = time.time()
+    assert {r.page_id: r.n_entries for r in url_filter.filtered(captures, events).collect()} == {0: 2, 1: 0, 2: 1}
+    assert time.time() - began < 5
+
+
 def test_license_scan(spark):
     templates = spark.createDataFrame([(i, *t) for i, t in enumerate(license_scan.TEMPLATES)], "tno int, license string, text string")
     rows = [
@@ -304,6 +432,23 @@ def test_rows_go_by_numbers(spark, stage):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (3, "text with one row")], key=str)
 
 
+def test_stages_on_awkward_rows(spark, sf_dir, awkward, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1), (3, 0), (6, 1), (9, 0), (10, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = awkward.where("key = 7").cache()
+    for name, stage in corpus_pipeline.STAGES:
+        kept, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert kept.where("offset = 0").count() >= 1 and kept.select("piece", "start").where("piece = 0").count() == docs.count()
+        else:
+            assert kept.columns == docs.columns == none.columns and kept.exceptAll(docs).count() == 0, name
+    left = corpus_pipeline.near_copies(spark, corpus_pipeline.spool(corpus_pipeline.exact_copies(spark, docs, str(tmp_path))), str(tmp_path))
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 4, 6, 7, 8, 9, None]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
