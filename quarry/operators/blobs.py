@@ -16,8 +16,8 @@ from quarry.sources.storage import spool, vault_put
 
 #: Bytes of a block, of the least segment that is stored by reference, and of the least orbit (fixed values).
 BLOCK, LEAST_STORED, LEAST_ORBIT = 262144, 65536, 4096
-#: Kinds of segments: seed of a generator, reference to the vault, dense bytes, other bytes.
-SEED, STORED, DENSE, CORE = "seed", "stored", "dense", "core"
+#: Kinds of segments: seed of a generator, reference to the vault, dense bytes, other bytes; a null body has none.
+SEED, STORED, DENSE, CORE, NONE = "seed", "stored", "dense", "core", "none"
 
 _U = np.uint64
 _LINEAR = {1: (word64.MMIX, word64.MMIX_ADD), 2: (word64.KNUTH, word64.KNUTH_ADD), 3: (word64.MMIX, 1)}
@@ -73,23 +73,41 @@ def find_orbit(body: bytes) -> tuple[int, int, int, int] | None:
     return None
 
 
+def _matrix_of(g: int) -> np.ndarray:
+    """Of a shifting generator, which is linear over bits: the states after those with a single bit."""
+    return _step(g, _U(1) << np.arange(64, dtype=_U))
+
+
+def _applied(matrix: np.ndarray, s: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(s)
+    for bit in range(64):
+        out ^= np.where(s >> _U(bit) & _U(1), matrix[bit], _U(0))
+    return out
+
+
 def expand_orbit(g: int, first: int, n: int) -> bytes:
-    """The n words of an orbit, from the first word that it put out."""
-    out, s = np.empty(n, "<u8"), np.array([first], _U)
+    """The n words of an orbit, from the first word that it put out: what is known is doubled by jumps of its length."""
     with np.errstate(over="ignore"):
-        s = _state(g, s)
+        s = _state(g, np.array([first], _U))
         if g == 5:
             return _emit(g, s + np.arange(n, dtype=_U) * _U(word64.GOLDEN)).astype("<u8").tobytes()
-        for i in range(n):
-            out[i] = _emit(g, s)[0]
-            s = _step(g, s)
-    return out.tobytes()
+        if g in _LINEAR:
+            k, c = (_U(v) for v in _LINEAR[g])
+            while len(s) < n:
+                s = np.concatenate([s, s * k + c])
+                k, c = k * k, k * c + c
+        else:
+            matrix = _matrix_of(g)
+            while len(s) < n:
+                s = np.concatenate([s, _applied(matrix, s)])
+                matrix = _applied(matrix, matrix)
+        return _emit(g, s[:n]).astype("<u8").tobytes()
 
 
 def encode(blobs: DataFrame, key: str, body: str, vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Segments key, start, kind, head, gen_id, seed, n_words, digest, length, tail; and what the vault has to add.
 
-    Blocks of one density verdict form a segment. A dense one that an orbit fills from its first bytes is kept as
+    Blocks of one density verdict form a segment; an empty body is one of no bytes, a null body one without. A dense one that an orbit fills from its first bytes is kept as
     head, seed and tail; else, if it has 64 KiB and a vault is given, as a digest; all others as bytes in tail.
     """
     source = blobs.select(F.col(key).alias("key"), F.col(body).alias("body"))
@@ -97,6 +115,8 @@ def encode(blobs: DataFrame, key: str, body: str, vault: DataFrame | None = None
     segments = source.join(runs.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"))
     start = (F.col("first") * BLOCK).cast("long")
     cut = segments.select("key", start.alias("start"), "dense", F.substring(F.col("body"), start.cast("int") + 1, ((F.col("last") - F.col("first") + 1) * BLOCK).cast("int")).alias("segment"))
+    few = source.where(F.col("body").isNull() | (F.octet_length("body") == 0)).select("key", F.lit(0).cast("long"), F.lit(None).cast("boolean"), "body")
+    cut = cut.union(few)
     store = vault is not None
     kind_of_key = source.schema["key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -106,15 +126,19 @@ def encode(blobs: DataFrame, key: str, body: str, vault: DataFrame | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                k, at, dense, segment = (c[0].as_py() for c in batch.slice(i, 1).columns)
+            rows = []
+            for at, dense, segment in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 orbit = find_orbit(segment) if dense else None
                 if orbit:
                     phase, g, first, n = orbit
-                    row = (at, SEED, segment[:phase], g, word64.signed(first), n, segment[phase + 8 * n :])
+                    rows.append((at, SEED, segment[:phase], g, word64.signed(first), n, segment[phase + 8 * n :]))
                 else:
-                    row = (at, (STORED if store and len(segment) >= LEAST_STORED else DENSE) if dense else CORE, b"", None, None, None, segment)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((k, *row), out, strict=True)], schema=out)
+                    kind = CORE if segment is not None else NONE
+                    if dense:
+                        kind = STORED if store and len(segment) >= LEAST_STORED else DENSE
+                    rows.append((at, kind, b"", None, None, None, segment))
+            columns = zip(*rows, strict=True) if rows else [()] * (len(out) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
     found = spool(cut.mapInArrow(run, f"key {kind_of_key.simpleString()}, start long, kind string, head binary, gen_id int, seed long, n_words long, tail binary"))
     held = F.col("kind") == STORED
@@ -129,15 +153,17 @@ def decode(rows: DataFrame, vault: DataFrame | None = None) -> DataFrame:
         objects = vault.select(F.col("digest").alias("__d"), F.col("length").alias("__n"), F.col("body").alias("__body"))
         rows = rows.join(objects, (F.col("digest") == F.col("__d")) & (F.col("length") == F.col("__n")), "left").withColumn("tail", F.coalesce("tail", "__body"))
     lost = F.raise_error(F.concat(F.lit("the vault lacks object "), F.coalesce("digest", F.lit("?"))))
-    rows = rows.select("key", "start", "head", "gen_id", "seed", "n_words", F.coalesce("tail", lost.cast("binary")).alias("tail"))
+    tail = F.when(F.col("kind") == NONE, F.lit(None).cast("binary")).otherwise(F.coalesce("tail", lost.cast("binary")))
+    rows = rows.select("key", "start", "head", "gen_id", "seed", "n_words", tail.alias("tail"))
     out = pa.schema([("key", pa.string()), ("start", pa.int64()), ("part", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                k, at, head, g, seed, n, tail = (c[0].as_py() for c in batch.slice(i, 1).columns)
+            parts = []
+            for head, g, seed, n, tail in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 middle = expand_orbit(g, seed & (1 << 64) - 1, n) if g is not None else b""
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([head + middle + tail], pa.binary())], schema=out)
+                parts.append(None if tail is None else head + middle + tail)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.binary())], schema=out)
 
     key_type = rows.schema["key"].dataType
     parts = rows.withColumn("key", F.col("key").cast("string")).mapInArrow(run, "key string, start long, part binary")

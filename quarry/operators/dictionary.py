@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import varint_len
+from quarry.functions.text import common_prefix_bytes, varint_len
 from quarry.operators.ordered import ranked, with_previous
-from quarry.operators.profile import common_prefix_bytes
-from quarry.operators.segment import lines
+from quarry.operators.segment import LINE, lines
 
 
 def distinct_records(records: DataFrame, address: list[str], record: str) -> DataFrame:
@@ -25,17 +24,22 @@ def dictionary(records: DataFrame, record: str) -> DataFrame:
 
 
 def encode_lines(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
-    """dict(line, id) and index(key, line_no, id) of the texts' lines."""
+    """dict(line, id), index(key, line_no, id) of the texts' lines, and texts(key, n_lines: null for a null text)."""
     records = lines(docs.select(key, "text"))
     entries = ranked(records.select("line").distinct(), ["line"]).select("line", F.col("pos").alias("id"))
-    return {"dict": entries, "index": records.join(entries, "line").select(key, "line_no", "id")}
+    texts = docs.select(key, F.size(F.regexp_extract_all("text", F.lit(LINE), 0)).cast("long").alias("n_lines"))
+    return {"dict": entries, "index": records.join(entries, "line").select(key, "line_no", "id"), "texts": texts.withColumn("n_lines", F.when(F.col("n_lines") >= 0, F.col("n_lines")))}
 
 
 def decode_lines(archive: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
-    """key, text (E2, J2). A text of no lines is not in the index; its caller knows it to be empty."""
+    """key, text (E2, J2): texts without lines are empty or null, as they were. A line that is missing is an error."""
     rows = archive["index"].join(archive["dict"], "id")
     parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("text"))
+    whole = rows.groupBy(F.col(key).alias("__key")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("text"), F.count(F.lit(1)).alias("n"))
+    found = archive["texts"].join(whole, F.col(key).eqNullSafe(F.col("__key")) & (F.col("n_lines") > 0), "left")
+    lost = F.raise_error(F.concat(F.lit("lines are missing of text "), F.coalesce(F.col(key).cast("string"), F.lit("?")))).cast("string")
+    text = F.when(F.col("n_lines") == 0, "").when(F.col("n_lines").isNull() | (F.col("n_lines") == F.col("n")), F.col("text")).otherwise(lost)
+    return found.select(key, text.alias("text"))
 
 
 def profit(records: DataFrame, group: str, record: str) -> DataFrame:

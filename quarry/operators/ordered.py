@@ -42,13 +42,28 @@ def ranked(df: DataFrame, order: list[str], sums: dict[str, str] | None = None)
     return out.select(*df.columns, "pos", *sums)
 
 
+#: Rows that one window looks at when each is given the row before it.
+STRETCH = 1 << 14
+
+
 def with_previous(rows: DataFrame, columns: list[str], group: list[str] = ()) -> DataFrame:
-    """rows (which have pos) with prev_<column> of the row before, null at the start and where the group changes."""
-    before = rows.select((F.col("pos") + 1).alias("__pos"), *(F.col(c).alias(f"prev_{c}") for c in columns), *(F.col(c).alias(f"__{c}") for c in group))
-    same = F.col("pos") == F.col("__pos")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return rows.join(before, same, "left").drop("__pos", *(f"__{c}" for c in group))
+    """rows (which have pos) with prev_<column> of the row before, null at the start and where the group changes.
+
+    One shuffle, by stretches of places; the last row of each stretch is handed on to the next one.
+    """
+    from pyspark.sql.window import Window
+
+    held = F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(columns)), *(F.col(c).alias(f"g{i}") for i, c in enumerate(group)))
+    stretch = F.floor(F.col("pos") / STRETCH).cast("long")
+    handed = rows.where(F.col("pos") % STRETCH == STRETCH - 1).select((stretch + 1).alias("__next"), held.alias("__handed"))
+    placed = rows.withColumn("__stretch", stretch)
+    placed = placed.withColumn("__before", F.lag(held).over(Window.partitionBy("__stretch").orderBy("pos")))
+    placed = placed.join(handed, F.col("__stretch") == F.col("__next"), "left")
+    before = F.when(F.col("pos") % STRETCH == 0, F.col("__handed")).otherwise(F.col("__before"))
+    same = before.isNotNull()
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(before[f"g{i}"])
+    return placed.select(*rows.columns, *(F.when(same, before[f"v{i}"]).alias(f"prev_{c}") for i, c in enumerate(columns)))
 
 
 def ranked_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import bound, bytes_of, is_number, prefixed_len, varint_len
+from quarry.functions.text import bound, bytes_of, common_prefix_bytes, is_number, parse_ts, prefixed_len, varint_len, zigzag
 from quarry.operators.ordered import ranked, with_previous
 from quarry.operators.segment import FIELD, LINE
 
@@ -73,34 +73,42 @@ def distinct_profile(long: DataFrame) -> DataFrame:
     return n.select("column", "n_rows", "n_distinct", (F.col("n_distinct") == 1).alias("is_const"), (F.col("n_distinct") <= 256).alias("is_dict"))
 
 
-def common_prefix_bytes(a: Column, b: Column) -> Column:
-    """LCP of two values in bytes, by their hexadecimal digits."""
-    from quarry.functions.text import lcp
-
-    return F.floor(lcp(F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))) / 2).cast("int")
+#: The largest step, in milliseconds, that times may have to be stored by their steps (fixed value).
+MOST_STEP = 1 << 30
 
 
 def column_codecs(long: DataFrame) -> DataFrame:
     """Per column of column, at, value rows: counts, costs in bytes and the codec chosen.
 
     Columns are ordered by at, whole tables at once: rows are dealt by ranges, so that a long column is no one's task.
-    The first that holds: const, seq (numbers with one step that render back), dict (at most 256 values), prefix if
-    cheaper than raw, raw.
     """
-    rows = with_previous(ranked(long.select("column", "at", "value"), ["column", "at"]), ["value"], ["column"])
+    return codecs_of_placed(ranked(long.select("column", "at", "value"), ["column", "at"]))
+
+
+def codecs_of_placed(placed: DataFrame) -> DataFrame:
+    """column_codecs of rows that have their pos.
+
+    The first that holds: const, seq (numbers with one step that render back), dict (at most 256 values), ts (times
+    that render back, by their steps, if no dearer than prefix and cheaper than raw), prefix if cheaper than raw, raw.
+    """
+    rows = with_previous(placed.select("column", "value", "pos"), ["value"], ["column"])
     v, p = F.col("value"), F.col("prev_value")
     n = F.octet_length(v)
-    shared = common_prefix_bytes(v, p)
     raw = prefixed_len(n)
-    prefix = F.when(p.isNull(), raw).otherwise(varint_len(shared) + varint_len(n - shared) + n - shared)
     number = F.when(is_number(v) & (F.length(v) <= 18), v.try_cast("long"))
     before = F.when(is_number(p) & (F.length(p) <= 18), p.try_cast("long"))
     plain = F.coalesce(number.cast("string") == v, F.lit(False))
+    rows = rows.select("column", "value", "prev_value", n.alias("n"), common_prefix_bytes(v, p).alias("shared"), (parse_ts(v) - parse_ts(p)).alias("delta"), parse_ts(v).isNotNull().alias("is_ts"))
+    shared, n = F.col("shared"), F.col("n")
+    prefix = F.when(p.isNull(), raw).otherwise(varint_len(shared) + varint_len(n - shared) + n - shared)
+    stepped = F.when(p.isNull(), raw).otherwise(varint_len(zigzag(F.col("delta"))))
     costs = rows.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(raw).cast("long").alias("raw_cost"), F.sum(prefix).cast("long").alias("prefix_cost"),
+        F.sum(stepped).cast("long").alias("ts_sum"), F.min((F.col("is_ts") & (p.isNull() | F.coalesce(F.abs("delta") <= MOST_STEP, F.lit(False)))).cast("int")).alias("all_ts"),
         F.min(number - before).alias("least_step"), F.max(number - before).alias("most_step"), F.min(plain.cast("int")).alias("plain"),
-    )
-    both = distinct_profile(long).select("column", "n_distinct").join(costs, "column")
+    ).withColumn("ts_cost", F.when(F.col("all_ts") == 1, F.col("ts_sum")))
+    both = distinct_profile(placed).select("column", "n_distinct").join(costs, "column")
     seq = (F.col("plain") == 1) & (F.col("least_step") == F.col("most_step"))
-    codec = F.when(F.col("n_distinct") == 1, "const").when(seq, "seq").when(F.col("n_distinct") <= 256, "dict").when(F.col("prefix_cost") < F.col("raw_cost"), "prefix").otherwise("raw")
-    return both.select("column", "n_rows", "n_distinct", "raw_cost", "prefix_cost", codec.alias("codec"))
+    ts = (F.col("ts_cost") <= F.col("prefix_cost")) & (F.col("ts_cost") < F.col("raw_cost"))
+    codec = F.when(F.col("n_distinct") == 1, "const").when(seq, "seq").when(F.col("n_distinct") <= 256, "dict").when(ts, "ts").when(F.col("prefix_cost") < F.col("raw_cost"), "prefix").otherwise("raw")
+    return both.select("column", "n_rows", "n_distinct", "raw_cost", "prefix_cost", "ts_cost", codec.alias("codec"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
@@ -145,14 +145,20 @@ TABLES = {
     "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
     "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
     "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]),
-    "events": ("event_id", ["event_id", "user_id", "event_type", "props"]),
+    "events": ("event_id", ["event_id", "user_id", "event_type", "props", "stamp"]),
 }
 
 
+def stamp() -> Column:
+    """An event's time as text, to the millisecond."""
+    return fn.format_ts(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") + fn.EPOCH_MS)
+
+
 def long_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, (order, columns) in TABLES.items():
-        long = profile.as_columns(table(spark, sf_dir, name), order, columns)
+        rows = table(spark, sf_dir, name)
+        long = profile.as_columns(rows.withColumn("stamp", stamp()) if "stamp" in columns else rows, order, columns)
         parts.append(long.select(F.concat(F.lit(f"{name}."), "column").alias("column"), F.col("at").cast("long").alias("at"), "value"))
     out = parts[0]
     for p in parts[1:]:
@@ -160,7 +166,9 @@ def long_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_LONG = "c AS (" + " UNION ALL ".join(f"SELECT '{t}.{c}' AS col, {o}::BIGINT AS at_row, {c}::VARCHAR AS value FROM {t}" for t, (o, cs) in TABLES.items() for c in cs) + ")"
+_STAMP = "strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+_LONG = "c AS (" + " UNION ALL ".join(f"SELECT '{t}.{c}' AS col, {o}::BIGINT AS at_row, {_STAMP if c == 'stamp' else c}::VARCHAR AS value FROM {t}" for t, (o, cs) in TABLES.items() for c in cs) + ")"
+_MS = "CASE WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.][0-9]{{3}}Z') THEN epoch_us(try_strptime({0}, '%Y-%m-%dT%H:%M:%S.%gZ')) // 1000 END"
 
 
 @register(f'WITH {_LONG} SELECT col AS "column", count(*) AS n_rows, count(DISTINCT value) AS n_distinct, count(DISTINCT value) = 1 AS is_const, count(DISTINCT value) <= 256 AS is_dict FROM c GROUP BY col')
@@ -169,13 +177,15 @@ def column_const_dict(spark, sf_dir):
 
 
 @register(f"""WITH {_LONG}, p AS (SELECT col, value, lag(value) OVER (PARTITION BY col ORDER BY at_row) AS prev FROM c),
-    x AS (SELECT col, value, prev, strlen(value) AS n, CASE WHEN prev IS NULL THEN 0 ELSE {LCP.format('value', 'prev')} END AS k FROM p),
+    y AS (SELECT col, value, prev, strlen(value) AS n, CASE WHEN prev IS NULL THEN 0 ELSE {LCP.format('value', 'prev')} END AS k, {_MS.format('value')} AS ms, {_MS.format('value')} - {_MS.format('prev')} AS delta FROM p),
+    x AS (SELECT *, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zz FROM y),
     s AS (SELECT col, count(*) AS n_rows, count(DISTINCT value) AS n_distinct, sum({VARINT.format('n')} + n)::BIGINT AS raw_cost,
                  sum(CASE WHEN prev IS NULL THEN {VARINT.format('n')} + n ELSE {VARINT.format('k')} + {VARINT.format('n - k')} + n - k END)::BIGINT AS prefix_cost,
                  min(CASE WHEN regexp_matches(value, '^[0-9]+$') AND regexp_matches(prev, '^[0-9]+$') THEN try_cast(value AS BIGINT) - try_cast(prev AS BIGINT) END) AS lo,
                  max(CASE WHEN regexp_matches(value, '^[0-9]+$') AND regexp_matches(prev, '^[0-9]+$') THEN try_cast(value AS BIGINT) - try_cast(prev AS BIGINT) END) AS hi,
-                 bool_and(coalesce(try_cast(value AS BIGINT)::VARCHAR = value, false) AND regexp_matches(value, '^[0-9]+$')) AS plain FROM x GROUP BY col)
-    SELECT col AS "column", n_rows, n_distinct, raw_cost, prefix_cost, CASE WHEN n_distinct = 1 THEN 'const' WHEN plain AND lo = hi THEN 'seq' WHEN n_distinct <= 256 THEN 'dict' WHEN prefix_cost < raw_cost THEN 'prefix' ELSE 'raw' END AS codec FROM s""")
+                 bool_and(coalesce(try_cast(value AS BIGINT)::VARCHAR = value, false) AND regexp_matches(value, '^[0-9]+$')) AS plain,
+                 CASE WHEN bool_and(ms IS NOT NULL AND (prev IS NULL OR coalesce(abs(delta) <= 1073741824, false))) THEN sum(CASE WHEN prev IS NULL THEN {VARINT.format('n')} + n ELSE {VARINT.format('zz')} END)::BIGINT END AS ts_cost FROM x GROUP BY col)
+    SELECT col AS "column", n_rows, n_distinct, raw_cost, prefix_cost, ts_cost, CASE WHEN n_distinct = 1 THEN 'const' WHEN plain AND lo = hi THEN 'seq' WHEN n_distinct <= 256 THEN 'dict' WHEN ts_cost <= prefix_cost AND ts_cost < raw_cost THEN 'ts' WHEN prefix_cost < raw_cost THEN 'prefix' ELSE 'raw' END AS codec FROM s""")
 def column_codec(spark, sf_dir):
     return profile.column_codecs(long_columns(spark, sf_dir))
 
@@ -292,10 +302,11 @@ def front_coding_cost(spark, sf_dir):
     return dictionary.dictionary(table(spark, sf_dir, "pages"), "url")
 
 
-@register("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text <> ''")
+@register("SELECT doc_id, sha256(text) AS digest FROM documents UNION ALL SELECT * FROM (VALUES (-1, sha256('')), (-2, NULL)) AS t(doc_id, digest)")
 def dedup_roundtrip(spark, sf_dir):
-    """Documents put back together from their line dictionary and index."""
-    archive = {k: spool(v) for k, v in dictionary.encode_lines(table(spark, sf_dir, "documents")).items()}
+    """Documents, an empty one and a null one put back together from their line dictionary and index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame([(-1, ""), (-2, None)], "doc_id long, text string"))
+    archive = {k: spool(v) for k, v in dictionary.encode_lines(docs).items()}
     return dictionary.decode_lines(archive).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
@@ -545,13 +556,14 @@ def vault_missing(spark, sf_dir):
     return vault_get(spool(vault), wanted)[1].select("doc_id", "digest", "length")
 
 
-@register("""SELECT * FROM (SELECT 'd' || doc_id AS "key", sha256(text) AS digest, 'core' AS kinds FROM documents WHERE text <> ''
-    UNION ALL SELECT 'p' || page_id, sha256(html), 'core' FROM pages)""")
+@register("""SELECT 'd' || doc_id AS "key", sha256(text) AS digest, 'core' AS kinds FROM documents
+    UNION ALL SELECT 'p' || page_id, sha256(html), 'core' FROM pages UNION ALL SELECT * FROM (VALUES ('e', sha256(''), 'core'), ('n', NULL, 'none'))""")
 def blob_roundtrip(spark, sf_dir):
-    """Documents and pages as binary bodies, through segments and back."""
+    """Documents, pages, an empty and a null body through segments and back."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.encode("text", "UTF-8").alias("body"))
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.encode("html", "UTF-8").alias("body"))
-    rows = spool(blobs.encode(docs.union(pages), "key", "body")[0])
+    more = spark.createDataFrame([("e", bytearray()), ("n", None)], "key string, body binary")
+    rows = spool(blobs.encode(docs.union(pages).union(more), "key", "body")[0])
     kinds = rows.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"))
     return blobs.decode(rows).select("key", F.sha2("body", 256).alias("digest")).join(kinds, "key")
 

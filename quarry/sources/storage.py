@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is absent (tests, a local session), one of this machine."""
+    """The folder named by spark.checkpoint.dir; where that is absent, one of this machine, in local sessions only."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return where or known.get()
+    if not where and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     where = where or tempfile.mkdtemp(prefix="quarry-")
     context.setCheckpointDir(where)
     return where
