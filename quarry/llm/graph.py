@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm import common
+
+#: Links that one task is given at least; small graphs would spend their time on starting tasks.
+TASK_LINKS = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,10 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node with a smaller neighbour points to the smallest one, chains of pointers are followed to
     their roots, and the links between roots remain: their number falls by a constant factor or more a round.
     """
-    edges = cut(_between(links, "a", "b"))
+    edges = common.cut(_between(links, "a", "b"))
+    tasks = 1 + edges.count() // TASK_LINKS
+
+    def cut(df: DataFrame) -> DataFrame:
+        return common.cut(df.coalesce(tasks))
+
+    edges = cut(edges)
     labels = cut(edges.select(F.col("hi").alias("node")).union(edges.select("lo")).distinct().withColumn("comp", F.col("node")))
     while not edges.isEmpty():
-        parents = _roots(cut(edges.groupBy("hi").agg(F.min("lo").alias("lo"))))
+        parents = _roots(cut(edges.groupBy("hi").agg(F.min("lo").alias("lo"))), cut)
         labels = cut(_follow(labels, "comp", parents))
         edges = cut(_between(_follow(_follow(edges, "hi", parents), "lo", parents), "hi", "lo"))
     return labels
@@ -33,7 +44,7 @@ def _follow(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return rows.join(found, rows[column] == F.col("__hi"), "left").withColumn(column, F.coalesce("__lo", column)).select(*rows.columns)
 
 
-def _roots(parents: DataFrame) -> DataFrame:
+def _roots(parents: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pointers doubled until all lead to roots; they go down in the order of nodes, so there are no circles."""
     while True:
         longer = cut(_follow(parents.withColumn("was", F.col("lo")), "lo", parents))
