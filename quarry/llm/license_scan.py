@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import spool
 
-#: Lines that the query's SQL looks at (a fixed value); the scan has no such bound.
-CUE = r"(?i)\b(licen[cs]ed?|licensing|spdx|copyright|copying|permission is hereby granted|redistribution and use|public domain)\b"
 #: Names of licence files (a fixed value).
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 #: Notices by licence.

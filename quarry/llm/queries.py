@@ -90,9 +90,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_license_scan, op5_quality_classifier, op6_ngram_jaccard, op7_exact_dedup, op8_quality_rules, op9_best_fit_packing, op10_byte_bpe)}
-_TEMPLATES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(license_scan.TEMPLATES))
-_N = len(license_scan.TEMPLATES)
-_TERMS = "rtrim(tok, '.') AS term FROM (SELECT *, unnest(regexp_split_to_array(lower({0}), '[^a-z0-9.]+')) AS tok FROM {1}) WHERE trim(tok, '.') <> ''"
+_QUOTED = [(1000 * kind + i, name, text.replace("'", "''"), kind) for kind, some in enumerate((license_scan.TEMPLATES, license_scan.FURTHER)) for i, (name, text) in enumerate(some)]
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}', {kind})" for i, name, text, kind in _QUOTED)
+_SPDX = ", ".join(f"('{i.lower()}', '{name}')" for name, some in license_scan.SPDX.items() for i in some)
+_TOKENS = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9.]+'), lambda x: rtrim(x, '.')), lambda x: x <> '')"
 _VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_EVENTS)
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": rf"""
@@ -106,19 +107,29 @@ ORACLE_SQL: dict[str, str] = {
                  GROUP BY page_id)
         SELECT page_id, url, host, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, first_list FROM t LEFT JOIN hits USING (page_id)""",
     "op4_license_scan": rf"""
-        WITH t(tno, license, body) AS (VALUES {_TEMPLATES}),
-        tf AS (SELECT tno, license, term, count(*) AS tf FROM (SELECT tno, license, {_TERMS.format('body', 't')}) GROUP BY ALL),
-        idf AS (SELECT term, ln({_N + 1}.0 / (1 + count(DISTINCT tno))) + 1 AS idf FROM tf GROUP BY term),
-        tw AS (SELECT tno, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tno)) AS w FROM tf JOIN idf USING (term)),
+        WITH t(tno, license, body, kind) AS (VALUES {_TEMPLATES}),
+        tf AS (SELECT kind, tno, license, term, count(*) AS tf FROM (SELECT kind, tno, license, unnest({_TOKENS.format('body')}) AS term FROM t) GROUP BY ALL),
+        nk AS (SELECT kind, count(*) AS n FROM t GROUP BY kind),
+        idf AS (SELECT kind, term, ln((1.0 + n) / (1 + count(DISTINCT tno))) + 1 AS idf FROM tf JOIN nk USING (kind) GROUP BY kind, term, n),
+        tw AS (SELECT kind, tno, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tno)) AS w FROM tf JOIN idf USING (kind, term)),
         files AS (SELECT doc_id, source || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/a' || doc_id % 7 ELSE '/a' || doc_id % 7 || '/b' || doc_id % 5 END
-                         || CASE WHEN length(text) < 600 THEN '/LICENSE' ELSE '/f' || doc_id || '.txt' END AS path, text FROM documents),
-        li AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{license_scan.CUE}')),
-        lf AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, {_TERMS.format('line', 'li')}) GROUP BY ALL),
-        lw AS (SELECT doc_id, line, term, tf * coalesce(idf, ln({_N + 1}.0) + 1) AS x FROM lf LEFT JOIN idf USING (term)),
-        ln_ AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
-        dots AS (SELECT doc_id, line, tno, license, sum(x * w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
-        best AS (SELECT doc_id, license AS own_license, cosine AS similarity FROM (SELECT doc_id, license, round(dot / norm, 6) AS cosine FROM dots JOIN ln_ USING (doc_id, line))
-                 WHERE cosine >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+        || CASE WHEN length(text) < 600 THEN '/LICENSE' ELSE '/f' || doc_id || '.txt' END AS path, text FROM documents),
+        ln0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {_TOKENS.format('l')}), lambda l: len(l) > 0) AS ls FROM files),
+        st AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ln0),
+        runs AS (SELECT doc_id, flatten(ls[i:j]) AS terms FROM (SELECT doc_id, ls, i, unnest(range(i, least(i + {license_scan.RUN}, len(ls) + 1))) AS j FROM st)),
+        blocks AS (SELECT doc_id, {_TOKENS.format('b')} AS terms FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\n[^a-z0-9\n]*\n[^a-z0-9]*')) AS b FROM files)),
+        whole AS (SELECT doc_id, {_TOKENS.format('text')} AS terms FROM files WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{license_scan.LICENCE_FILE}')),
+        units AS (SELECT doc_id, array_to_string(terms, ' ') AS u FROM (SELECT * FROM runs UNION ALL SELECT * FROM blocks UNION ALL SELECT * FROM whole)),
+        du AS MATERIALIZED (SELECT u, row_number() OVER () AS uid FROM (SELECT DISTINCT u FROM units WHERE u <> '')),
+        c AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(string_split(u, ' ')) AS term FROM du) GROUP BY ALL),
+        x AS (SELECT uid, kind, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS x FROM c CROSS JOIN nk LEFT JOIN idf USING (kind, term)),
+        nm AS (SELECT uid, kind, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+        dots AS (SELECT uid, kind, tno, license, sum(x * w) AS dot FROM x JOIN tw USING (kind, term) GROUP BY ALL),
+        near AS (SELECT u, license, round(dot / norm, 6) AS cosine FROM dots JOIN nm USING (uid, kind) JOIN du USING (uid) WHERE round(dot / norm, 6) >= 0.7),
+        spdx(id, license) AS (VALUES {_SPDX}),
+        tags AS (SELECT doc_id, license, 1.0::DOUBLE AS cosine FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(tag), '[^a-z0-9.+\-]+')) AS id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{license_scan.SPDX_TAG}', 1)) AS tag FROM files)) JOIN spdx USING (id)),
+        best AS (SELECT doc_id, license AS own_license, cosine AS similarity FROM (SELECT doc_id, license, cosine FROM units JOIN near USING (u) UNION ALL SELECT doc_id, license, cosine FROM tags)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
         f AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, similarity FROM files LEFT JOIN best USING (doc_id)),
         d AS (SELECT dir AS up, own_license AS dir_license FROM f WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{license_scan.LICENCE_FILE}')
               QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_license) = 1),
