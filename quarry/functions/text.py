@@ -23,6 +23,14 @@ def byte_class(c: Column) -> Column:
 CHAR_CLASSES = {"digit": "[0-9]", "lower": "[a-z]", "upper": "[A-Z]", "blank": r"[ \t]", "line": r"[\n\r]", "mark": '[",:=.]', "wide": r"[^\x00-\x7F]"}
 
 
+def char_class(c: Column) -> Column:
+    """The name of a character's class, other if it has none of these (F2)."""
+    found = F.lit("other")
+    for name, pattern in reversed(CHAR_CLASSES.items()):
+        found = F.when(c.rlike(pattern), name).otherwise(found)
+    return found
+
+
 def count_of(text: Column, pattern: str) -> Column:
     """Characters that match; by what their removal takes away, which is cheaper than listing them."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
@@ -37,6 +45,20 @@ def varint_len(v: Column) -> Column:
     return F.when(v < 1 << 7, 1).when(v < 1 << 14, 2).when(v < 1 << 21, 3).when(v < 1 << 28, 4).otherwise(5)
 
 
+def varint(v: Column) -> Column:
+    """A number from 0 as its bytes: seven bits to the byte from the lowest, the high bit where more follow."""
+    rest = [F.shiftrightunsigned(v.cast("long"), 7 * i) for i in range(10)]
+    parts = [F.lpad(F.hex(r.bitwiseAND(F.lit(127)) + F.when(after > 0, 128).otherwise(0)), 2, "0") for r, after in zip(rest, [*rest[1:], F.lit(0)], strict=True)]
+    return F.unhex(F.concat(parts[0], *(F.when(r > 0, part).otherwise("") for r, part in zip(rest[1:], parts[1:], strict=True))))
+
+
+def read_varint(body: Column) -> Column:
+    """The number that varint was given."""
+    digits = F.regexp_extract_all(F.hex(body), F.lit("[0-9A-F]{2}"), 0)
+    bits = F.transform(digits, lambda d: F.conv(d, 16, 10).cast("long").bitwiseAND(F.lit(127)))
+    return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 7).bitwiseOR(b))
+
+
 def prefixed_len(n: Column) -> Column:
     """Bytes of a string of n bytes with its length before it."""
     return varint_len(n) + n
@@ -116,8 +138,8 @@ EPOCH_MS = 719162 * 86400000
 
 def parse_ts(text: Column) -> Column:
     """Milliseconds since 0001-01-01 of a strict YYYY-MM-DDTHH:MM:SS.mmmZ, else null; days must exist."""
-    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z$")
-    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
+    shape = (F.octet_length(text) == 24) & text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z$")
+    day = F.when(shape, F.substring(text, 1, 10).try_cast("date"))
     h, m, s, ms = (F.substring(text, a, n).try_cast("long") for a, n in ((12, 2), (15, 2), (18, 2), (21, 3)))
     value = F.datediff(day, F.lit("0001-01-01").cast("date")).cast("long") * 86400000 + h * 3600000 + m * 60000 + s * 1000 + ms
     return F.when(shape & day.isNotNull() & (h < 24) & (m < 60) & (s < 60), value)

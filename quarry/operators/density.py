@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import fold_case
 from quarry.operators.segment import contexts, hex_bytes
 
 #: Bits per byte above which a block counts as dense, and the least sample that can (fixed values).
@@ -52,3 +53,22 @@ def certain(counts: DataFrame, least: int = 15) -> DataFrame:
     totals = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))
     found = counts.join(totals, "ctx").where(F.col("n_ctx") >= least)
     return found.where(F.col("n") * 4096 > F.col("n_ctx") * 3968)
+
+
+def certain_at_both(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
+    """The certain contexts among long whose last k bytes are certain of the same byte (P14); both from certain()."""
+    ends = short.select(F.col("ctx").alias("__ctx"), F.col("byte").alias("__byte"))
+    return long.join(ends, (F.right("ctx", F.lit(2 * k)) == F.col("__ctx")) & (F.col("byte") == F.col("__byte")), "left_semi")
+
+
+def token_contexts(df: DataFrame, text: str = "text") -> DataFrame:
+    """ctx, next, n: what follows a run of letters so far, with the character before the run; A-Z folded.
+
+    Characters beyond ASCII count as letters. The last context of a text has no next.
+    """
+    folded = fold_case(F.col(text))
+    runs = F.regexp_extract_all(folded, F.lit(r"[\x00-\x60\x7B-\x7F](?:[a-z]|[^\x00-\x7F])*|(?:[a-z]|[^\x00-\x7F])+"), 0)
+    rows = df.select(runs.alias("r")).select(F.posexplode("r").alias("i", "run"), "r").groupBy("run", F.substring(F.get("r", F.col("i") + 1), 1, 1).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("run", "after", "n", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("k"))
+    follows = F.when(F.col("k") < F.length("run"), F.substring("run", F.col("k") + 1, F.lit(1))).otherwise(F.col("after"))
+    return rows.groupBy(F.substring("run", F.lit(1), F.col("k")).alias("ctx"), follows.alias("next")).agg(F.sum("n").alias("n"))

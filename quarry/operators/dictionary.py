@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import common_prefix_bytes, varint_len
 from quarry.operators.ordered import ranked, with_previous
 from quarry.operators.segment import LINE, lines
+from quarry.sources.storage import spool
 
 
 def distinct_records(records: DataFrame, address: list[str], record: str) -> DataFrame:
@@ -42,6 +43,14 @@ def decode_lines(archive: dict[str, DataFrame], key: str = "doc_id") -> DataFram
     return found.select(key, text.alias("text"))
 
 
+def encoded_size(records: DataFrame, record: str) -> DataFrame:
+    """n_bytes, dict_bytes, index_bytes, ratio: of a record dictionary and its stream of ids, before any entropy coder."""
+    entries = spool(dictionary(records, record))
+    index = records.join(entries.select(record, "id"), record).agg(F.sum(F.octet_length(record)).cast("long").alias("n_bytes"), F.sum(varint_len(F.col("id"))).cast("long").alias("index_bytes"))
+    found = entries.agg(F.sum("cost").cast("long").alias("dict_bytes")).crossJoin(index)  # one row each
+    return found.select("n_bytes", "dict_bytes", "index_bytes", F.round(F.col("n_bytes") / (F.col("dict_bytes") + F.col("index_bytes") + 8), 6).alias("ratio"))
+
+
 def profit(records: DataFrame, group: str, record: str) -> DataFrame:
     """group, n_records, n_distinct, saved_bytes, profitable: at most two thirds of the records are distinct."""
     each = records.groupBy(group, record).agg(F.count(F.lit(1)).alias("n"))
@@ -54,8 +63,6 @@ def probe(records: DataFrame, group: str, order: list[str], record: str, most_ro
 
     Places and running bytes come from ordered ranges, so that a group of any size is no one's task.
     """
-    from quarry.sources.storage import spool
-
     rows = spool(ranked(records.withColumn("n_bytes", F.octet_length(record).cast("long")), [group, *order], {"bytes_before": "n_bytes"}))
     first = rows.groupBy(group).agg(F.min("pos").alias("__first"), F.min("bytes_before").alias("__bytes"))
     head = rows.join(first, group).where((F.col("pos") - F.col("__first") < most_rows) & (F.col("bytes_before") - F.col("__bytes") < most_bytes))

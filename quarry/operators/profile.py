@@ -73,6 +73,12 @@ def distinct_profile(long: DataFrame) -> DataFrame:
     return n.select("column", "n_rows", "n_distinct", (F.col("n_distinct") == 1).alias("is_const"), (F.col("n_distinct") <= 256).alias("is_dict"))
 
 
+def immediate_repeats(long: DataFrame) -> DataFrame:
+    """column, n_rows, n_repeats: values equal to the one before them."""
+    rows = with_previous(ranked(long.select("column", "at", "value"), ["column", "at"]), ["value"], ["column"])
+    return rows.groupBy("column").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce(F.col("value") == F.col("prev_value"), F.lit(False)).cast("long")).alias("n_repeats"))
+
+
 #: The largest step, in milliseconds, that times may have to be stored by their steps (fixed value).
 MOST_STEP = 1 << 30
 
@@ -91,14 +97,14 @@ def codecs_of_placed(placed: DataFrame) -> DataFrame:
     The first that holds: const, seq (numbers with one step that render back), dict (at most 256 values), ts (times
     that render back, by their steps, if no dearer than prefix and cheaper than raw), prefix if cheaper than raw, raw.
     """
-    rows = with_previous(placed.select("column", "value", "pos"), ["value"], ["column"])
+    rows = with_previous(placed.select("column", "value", "pos", parse_ts(F.col("value")).alias("ms")), ["value", "ms"], ["column"])
     v, p = F.col("value"), F.col("prev_value")
     n = F.octet_length(v)
     raw = prefixed_len(n)
     number = F.when(is_number(v) & (F.length(v) <= 18), v.try_cast("long"))
     before = F.when(is_number(p) & (F.length(p) <= 18), p.try_cast("long"))
     plain = F.coalesce(number.cast("string") == v, F.lit(False))
-    rows = rows.select("column", "value", "prev_value", n.alias("n"), common_prefix_bytes(v, p).alias("shared"), (parse_ts(v) - parse_ts(p)).alias("delta"), parse_ts(v).isNotNull().alias("is_ts"))
+    rows = rows.select("column", "value", "prev_value", n.alias("n"), common_prefix_bytes(v, p).alias("shared"), (F.col("ms") - F.col("prev_ms")).alias("delta"), F.col("ms").isNotNull().alias("is_ts"))
     shared, n = F.col("shared"), F.col("n")
     prefix = F.when(p.isNull(), raw).otherwise(varint_len(shared) + varint_len(n - shared) + n - shared)
     stepped = F.when(p.isNull(), raw).otherwise(varint_len(zigzag(F.col("delta"))))

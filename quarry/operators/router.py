@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import bytes_of
+from quarry.operators import columnar
 from quarry.operators.density import binary_counts, entropy, is_dense
 from quarry.operators.dictionary import probe, profit
+from quarry.operators.ordered import ranked
 from quarry.operators.profile import LEAST_BYTES, LEAST_RECORDS, PRINTABLE_PERCENT, printable
 from quarry.operators.segment import FIELD, blocks, lines, stanzas
+from quarry.sources.storage import spool
 
 
 def lanes(docs: DataFrame, group: str, key: str = "doc_id") -> DataFrame:
@@ -39,6 +42,37 @@ def lanes(docs: DataFrame, group: str, key: str = "doc_id") -> DataFrame:
     return all_.select(group, "n_bytes", F.col("n_line").alias("n_lines"), stanza_ok.alias("stanza_ok"), line_ok.alias("line_ok"), column.alias("column_ok"), lane.alias("lane"))
 
 
+def encode(docs: DataFrame, group: str, key: str = "doc_id") -> dict[str, DataFrame]:
+    """lanes(group, lane), and each lane's tables (named lane/table) of the groups that it accepted first.
+
+    Stanzas and lines go through dictionaries, columns through codecs; other texts are kept as they are.
+    """
+    chosen = spool(lanes(docs, group, key).select(F.col(group).alias("__group"), "lane"))
+    # lanes are as many as groups, and a group may hold most texts: they are joined, and texts split, by size
+    rows = spool(docs.select(group, key, "text").join(chosen, F.col(group).eqNullSafe(F.col("__group")), "left").withColumn("lane", F.coalesce("lane", F.lit("core"))).drop("__group"))
+    archive = {"lanes": chosen.select(F.col("__group").alias(group), "lane"), "core/texts": rows.where("lane = 'core'").select(key, "text")}
+    for lane, cut in (("stanza", stanzas), ("line", lines)):
+        records = cut(rows.where(F.col("lane") == lane).select(key, "text")).toDF(key, "no", "record")
+        entries = ranked(records.select("record").distinct(), ["record"]).select("record", F.col("pos").alias("id"))
+        archive |= {f"{lane}/dict": entries, f"{lane}/index": records.join(entries, "record").select(key, "no", "id")}
+    cells = lines(rows.where("lane = 'column'").select(key, "text"))
+    long = columnar.columns_of_lines(cells.select(F.struct(key, "line_no").alias("line_no"), "line"))
+    archive |= {f"column/{name}": table for name, table in columnar.encode(long).items()}
+    archive["texts"] = rows.where("lane <> 'core'").select(key, F.col("text").isNull().alias("null_text"))
+    return {name: spool(table) for name, table in archive.items()}
+
+
+def decode(archive: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
+    """key, text of all lanes."""
+    parts = [archive[f"{lane}/index"].join(archive[f"{lane}/dict"], "id").select(key, F.col("no").cast("long").alias("no"), "record") for lane in ("stanza", "line")]
+    back = columnar.lines_of_columns(columnar.decode({name.partition("/")[2]: table for name, table in archive.items() if name.startswith("column/")}))
+    parts.append(back.select(F.col(f"at.{key}").alias(key), F.col("at.line_no").cast("long").alias("no"), F.col("line").alias("record")))
+    pieces = F.sort_array(F.collect_list(F.struct("no", "record")))
+    whole = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col(key).alias("__key")).agg(F.array_join(F.transform(pieces, lambda p: p["record"]), "").alias("text"))
+    texts = archive["texts"].join(whole, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return texts.select(key, F.when(~F.col("null_text"), F.coalesce("text", F.lit(""))).alias("text")).union(archive["core/texts"])
+
+
 def block_verdicts(blobs: DataFrame, key: str, body: str) -> DataFrame:
     """key, block_no, n_bytes, bits, dense: verdicts of 256 KiB blocks by their first 64 KiB."""
     from quarry.operators.density import SAMPLE

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import columnar
 from quarry.operators.ordered import ranked_within
+from quarry.operators.segment import fields
+from quarry.sources.storage import spool
 
 #: Lines a shape needs, shapes a lane allows, percent of bytes the eligible shapes must cover (fixed values).
 LEAST_LINES, MOST_SHAPES, COVER_PERCENT = 128, 64, 70
@@ -40,6 +43,27 @@ def encode(records: DataFrame, address: list[str]) -> dict[str, DataFrame]:
     return {"body": placed.select("sig", "place", "line"), "order": placed.select(*address, "sig")}
 
 
+def encode_columns(records: DataFrame, address: list[str]) -> dict[str, DataFrame]:
+    """order(address, sig), residue(sig, place, line) of shapes with few lines, and the columns of all others, each
+    field of each shape by a codec of its own (E5). Where the lane as a whole is not accepted all lines are residue.
+    """
+    placed = spool(ranked_within(records.withColumn("sig", signature(F.col("line"))), ["sig"], address))
+    found = groups(records, address)
+    large = spool(found.crossJoin(verdict(found).select("accepted")).where("eligible AND accepted").select("sig"))  # one verdict
+    rows = placed.join(large, "sig", "left_semi").select("sig", "place", "line")
+    parts = fields(rows).select(F.concat_ws(":", "sig", F.format_string("%05d", "field_idx")).alias("column"), F.col("place").alias("at"), "value")
+    residue_rows = placed.join(large, "sig", "left_anti").select("sig", "place", "line")
+    return {"order": placed.select(*address, "sig"), "residue": residue_rows, **columnar.encode(parts)}
+
+
+def decode_columns(archive: dict[str, DataFrame], address: list[str]) -> DataFrame:
+    """address, line."""
+    values = columnar.decode(archive).select(F.split_part("column", F.lit(":"), F.lit(1)).alias("sig"), F.split_part("column", F.lit(":"), F.lit(2)).alias("field"), F.col("at").alias("place"), "value")
+    parts = F.sort_array(F.collect_list(F.struct("field", "value")))
+    body = values.groupBy("sig", "place").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("line"))
+    return decode({"order": archive["order"], "body": body.unionByName(archive["residue"])}, address)
+
+
 def decode(archive: dict[str, DataFrame], address: list[str]) -> DataFrame:
     """address, line: the k-th line of a shape goes where the order has that shape for the k-th time."""
     return ranked_within(archive["order"], ["sig"], address).join(archive["body"], ["sig", "place"]).select(*address, "line")

@@ -194,3 +194,29 @@ def test_blobs(spark):
     assert {r.key: bytes(r.body) for r in blobs.decode(segments, fresh).collect()} == dict(rows)
     with pytest.raises(Exception, match="the vault lacks object"):
         blobs.decode(segments, empty).collect()
+
+
+def test_router_sends_groups_by_their_gates(spark):
+    same = spark.range(40).select(F.lit("repeated").alias("source"), F.col("id").alias("doc_id"), F.repeat(F.lit("key = value and more\nother = thing\n"), 60).alias("text"))
+    csv = spark.range(40).select(F.lit("csv"), 100 + F.col("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat_ws(",", F.col("id") * 30 + i, F.substring(F.md5((F.col("id") * 99 + i).cast("string").cast("binary")), 1, 6), F.lit("x\n"))), ""))
+    odd = spark.createDataFrame([("odd", 900, None), ("odd", 901, ""), (None, 902, "no group")], "source string, doc_id long, text string")
+    docs = same.union(csv).union(odd)
+    archive = router.encode(docs, "source")
+    assert {r.source: r.lane for r in archive["lanes"].collect()}.items() >= {"repeated": "line", "csv": "column"}.items()
+    assert archive["line/dict"].count() == 2 and archive["column/codecs"].count() > 4
+    assert {r.doc_id: r.text for r in router.decode(archive).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert router.decode(router.encode(docs.limit(0), "source")).count() == 0
+
+
+def test_lane_needs_two_detections(spark):
+    import hashlib
+
+    values = [hashlib.md5(str(i).encode()).hexdigest() for i in range(6)]
+    values = [values[0], "word", values[1], values[2].upper(), values[3].upper(), "short", values[4]]
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, o int, v string")
+    from quarry.operators import lanes
+
+    found = [(r.lane, r.belief, r.confidence, r.armed) for r in lanes.beliefs(rows, ["k"], "o", "v").orderBy("o").collect()]
+    assert found == [
+        ("lower", None, 0, False), ("none", "lower", 1, False), ("lower", "lower", 1, False), ("upper", "lower", 2, True), ("upper", "upper", 1, False), ("none", "upper", 2, True), ("lower", "upper", 2, False),
+    ]

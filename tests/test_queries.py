@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from quarry.plans.catalogue import ORACLE_SQL, QUERIES
+from quarry.plans.structure import ORACLE_SQL, QUERIES
 
 
 def test_every_query_has_sql():
