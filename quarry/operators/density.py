@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fold_case
-from quarry.operators.segment import contexts, hex_bytes
+from quarry.operators.segment import contexts
 
 #: Bits per byte above which a block counts as dense, and the least sample that can (fixed values).
 DENSE_BITS, LEAST_SAMPLE, SAMPLE = 7.60, 4096, 65536
 
 
 def byte_counts(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, byte (0..255), n (A1). Characters are counted first; their bytes are added up from the few distinct ones."""
-    chars = df.select(*key, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(*key, "c").agg(F.count(F.lit(1)).alias("n"))
-    found = chars.select(*key, "n", F.explode(hex_bytes(F.col("c"))).alias("h"))
-    return found.groupBy(*key, F.conv("h", 16, 10).cast("int").alias("byte")).agg(F.sum("n").alias("n"))
+    """key, byte (0..255), n of a text's UTF-8 (A1)."""
+    return binary_counts(df.select(*key, F.encode(text, "UTF-8").alias("body")), key, "body")
 
 
 def binary_counts(df: DataFrame, key: list[str], body: str) -> DataFrame:
-    """key, byte, n of a binary column."""
-    found = df.select(*key, F.explode(F.regexp_extract_all(F.hex(body), F.lit("[0-9A-F]{2}"), 0)).alias("h"))
-    return found.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("n")).select(*key, F.conv("h", 16, 10).cast("int").alias("byte"), "n")
+    """key, byte, n of a binary column: each body is counted where it lies, and what moves is 256 counts at most for each."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    source = df.where(F.octet_length(body) > 0).select(*key, body)
+    kinds = [(c, source.schema[c].dataType) for c in key]
+    out = pa.schema([*((c, to_arrow_type(t)) for c, t in kinds), ("byte", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(b.as_buffer(), np.uint8), minlength=256) for b in batch.column(len(key))]
+            if not key:
+                total += sum(counts, np.zeros(256, np.int64))
+            elif counts:
+                rows, byte = np.nonzero(np.stack(counts))
+                n = np.concatenate([c[c > 0] for c in counts])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at).cast(out.field(i).type) for i in range(len(key))), pa.array(byte, pa.int32()), pa.array(n, pa.int64())], schema=out)
+        if not key:
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0], pa.int64())], schema=out)
+
+    found = source.mapInArrow(run, ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in kinds), "byte int", "n long"]))
+    return found.groupBy(*key, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(counts: DataFrame, key: list[str]) -> DataFrame:

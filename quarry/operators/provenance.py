@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.functions import word64
+from quarry.operators.ordered import ranked, with_previous
 
 #: Words that an orbit must have to be recognised: 4096 bytes (fixed value).
 LEAST_WORDS = 512
@@ -71,13 +71,16 @@ def xorshift_stream(spark: SparkSession, n: int, seed: int, run: int = 4096) ->
 
 def recognise(streams: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """stream_id, gen_id, generator, seed_word, run_words: of streams(stream_id, pos, word), the first generator whose
-    orbit the head of the stream follows for least words or more; without one a stream is left out (A11, E9).
+    orbit the head of the stream follows for least words or more; without one a stream is left out (A11, E9). A stream of
+    any length is spread over tasks.
     """
-    w = Window.partitionBy("stream_id").orderBy("pos")
-    rows = streams.select("stream_id", "pos", "word", F.lag("word").over(w).alias("before"), F.first("word").over(w).alias("seed_word"))
-    follows = F.array(*[F.when(word64.emit(g, word64.step(g, word64.state(g, F.col("before")))) == F.col("word"), True).otherwise(False) for g in range(6)])
-    each = rows.where("before IS NOT NULL").select("stream_id", "pos", "seed_word", F.posexplode(follows).alias("gen_id", "ok"))
-    runs = each.groupBy("stream_id", "gen_id").agg(F.min(F.when(~F.col("ok"), F.col("pos"))).alias("broken"), (F.max("pos") + 1).alias("n"), F.min("seed_word").alias("seed_word"), (F.min("pos") - 1).alias("start"))
+    placed = ranked(streams.select("stream_id", F.col("pos").alias("at"), "word"), ["stream_id", "at"])
+    rows = with_previous(placed, ["word"], ["stream_id"]).where("prev_word IS NOT NULL")
+    follows = F.array(*[F.when(word64.emit(g, word64.step(g, word64.state(g, F.col("prev_word")))) == F.col("word"), True).otherwise(False) for g in range(6)])
+    each = rows.select("stream_id", "at", "prev_word", F.posexplode(follows).alias("gen_id", "ok"))
+    head = F.min(F.struct("at", F.col("prev_word").alias("word")))
+    runs = each.groupBy("stream_id", "gen_id").agg(F.min(F.when(~F.col("ok"), F.col("at"))).alias("broken"), (F.max("at") + 1).alias("n"), head.alias("head"))
+    runs = runs.withColumn("seed_word", F.col("head.word")).withColumn("start", F.col("head.at") - 1)
     runs = runs.withColumn("run_words", F.coalesce("broken", "n") - F.col("start")).where(F.col("run_words") >= least)
     best = runs.groupBy("stream_id").agg(F.min(F.struct("gen_id", "seed_word", "run_words")).alias("b"))
     names = F.array(*map(F.lit, word64.GENERATORS))

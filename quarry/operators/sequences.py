@@ -36,45 +36,73 @@ class Lock:
         self.value = value
 
 
-def locked(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, n, asked, hit, confidence: of each sequence of whole numbers, how often it was predicted, and rightly.
+class Cell:
+    """An adaptive probability of 12 bits: it moves by 2^-2 of the error at first and by 2^-6 later."""
+
+    __slots__ = ("n", "p")
+
+    def __init__(self):
+        self.p, self.n = 2048, 0
+
+    def feed(self, bit: int) -> None:
+        rate = min(6, 2 + (self.n >> 1))
+        self.p = min(4094, self.p + max(1, (4096 - self.p) >> rate)) if bit else max(1, self.p - max(1, self.p >> rate))
+        self.n = min(15, self.n + 1)
 
-    The fold is sequential by its nature. Rows are sorted within partitions and folded as they stream by, so that a
+
+class _Locked:
+    """A lock and how often it foretold a value, and rightly."""
+
+    def __init__(self):
+        self.lock, self.n, self.asked, self.hit = Lock(), 0, 0, 0
+
+    def feed(self, value: int) -> None:
+        p = self.lock.prediction()
+        self.n, self.asked, self.hit = self.n + 1, self.asked + (p is not None), self.hit + (p is not None and p == value)
+        self.lock.feed(value)
+
+    def row(self) -> tuple:
+        return self.n, self.asked, self.hit, self.lock.confidence
+
+
+class _Celled(Cell):
+    def row(self) -> tuple:
+        return self.p, self.n
+
+
+def _folded(rows: DataFrame, key: str, order: str, value: str, make: type, columns: list[str]) -> DataFrame:
+    """key and the columns that make().row() gives once it was fed a key's values in their order.
+
+    A fold is sequential by its nature. Rows are sorted within partitions and folded as they stream by, so that a
     long sequence costs time but no memory.
     """
-    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("hit", pa.int64()), ("confidence", pa.int64())])
+    out = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, lock, n, asked, hit = None, None, 0, 0, 0
+        current, state = None, None
         for batch in batches:
             done = []
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lock is None or k != current:
-                    if lock is not None:
-                        done.append((current, n, asked, hit, lock.confidence))
-                    current, lock, n, asked, hit = k, Lock(), 0, 0, 0
-                p = lock.prediction()
-                n, asked, hit = n + 1, asked + (p is not None), hit + (p is not None and p == v)
-                lock.feed(v)
+                if state is None or k != current:
+                    if state is not None:
+                        done.append((current, *state.row()))
+                    current, state = k, make()
+                state.feed(v)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], schema=out)
-        if lock is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (current, n, asked, hit, lock.confidence)], schema=out)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (current, *state.row())], schema=out)
 
     ordered = rows.select(F.col(key).cast("long").alias("k"), F.col(value).cast("long").alias("v"), F.col(order).alias("o"))
     ordered = ordered.where("k IS NOT NULL AND v IS NOT NULL").repartition("k").sortWithinPartitions("k", "o", "v").select("k", "v")
-    return ordered.mapInArrow(run, "key long, n long, asked long, hit long, confidence long")
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *columns)))
 
 
-def adaptive_cells(rows: DataFrame, key: str, order: str, bit: str) -> DataFrame:
-    """key, p, n: probability cells of 12 bits that move by 2^-2 of the error at first and 2^-6 later."""
-    bits = F.transform(F.sort_array(F.collect_list(F.struct(order, bit))), lambda x: x[bit].cast("int"))
-    start = F.struct(F.lit(2048).alias("p"), F.lit(0).alias("n"))
+def locked(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, n, asked, hit, confidence: of each sequence of whole numbers, how often it was predicted, and rightly."""
+    return _folded(rows, key, order, value, _Locked, ["n", "asked", "hit", "confidence"])
 
-    def move(s, b):
-        rate = F.least(F.lit(2) + F.shiftright(s["n"], 1), F.lit(6))
-        scale = F.element_at(F.array(*[F.lit(1 << r) for r in range(2, 7)]), rate - 1)
-        p = F.when(b == 1, s["p"] + F.greatest(F.floor((F.lit(4096) - s["p"]) / scale), F.lit(1))).otherwise(s["p"] - F.greatest(F.floor(s["p"] / scale), F.lit(1)))
-        return F.struct(F.least(F.greatest(p, F.lit(1)), F.lit(4094)).cast("int").alias("p"), F.least(s["n"] + 1, F.lit(15)).alias("n"))
 
-    return rows.groupBy(key).agg(F.aggregate(bits, start, move).alias("s")).select(key, "s.p", "s.n")
+def adaptive_cells(rows: DataFrame, key: str, order: str, bit: str) -> DataFrame:
+    """key, p, n: a probability cell for each key, fed with its bits."""
+    return _folded(rows, key, order, bit, _Celled, ["p", "n"]).select(F.col("key").alias(key), F.col("p").cast("int").alias("p"), F.col("n").cast("int").alias("n"))

@@ -523,14 +523,17 @@ def xorshift_orbit(spark, sf_dir):
     return provenance.xorshift_stream(spark, 10000, 88172645463325252).select("pos", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("word"))
 
 
-@register("SELECT * FROM (VALUES (1, 'xorshift64', 1000), (2, 'lcg_mmix', 600), (3, 'splitmix64', 2000)) AS t(stream_id, generator, run_words)")
+@register("SELECT * FROM (VALUES (1, 'xorshift64', 1000), (2, 'lcg_mmix', 600), (3, 'splitmix64', 2000), (12, 'lcg_knuth', 700), (13, 'lcg_plus_1', 700), (14, 'xorshift64_star', 700)) AS t(stream_id, generator, run_words)")
 def genome_match(spark, sf_dir):
-    """Streams of known makers, one broken after 600 words, and one of hashes that nothing made."""
+    """Streams of all six makers, one broken after 600 words, and one of hashes that nothing made."""
+    import numpy as np
+
     xs = provenance.xorshift_stream(spark, 1000, 7).select(F.lit(1).alias("stream_id"), "pos", "word")
     lcg = provenance.lcg_stream(spark, 900, 7).select(F.lit(2), "pos", F.when(F.col("pos") < 600, F.col("word")).otherwise(F.xxhash64("pos")))
     mix = provenance.splitmix_stream(spark, 2000, 7).select(F.lit(3), "pos", "word")
     noise = spark.range(1000).select(F.lit(4), "id", F.xxhash64("id"))
-    found = provenance.recognise(xs.union(lcg).union(mix).union(noise))
+    more = [(10 + g, i, w) for g in (2, 3, 4) for i, w in enumerate(np.frombuffer(blobs.expand_orbit(g, 99, 700), "<i8").tolist())]
+    found = provenance.recognise(xs.union(lcg).union(mix).union(noise).union(spark.createDataFrame(more, "s int, p long, w long")))
     return found.select("stream_id", "generator", F.col("run_words").cast("int").alias("run_words"))
 
 
