@@ -24,13 +24,16 @@ def discard(spooled: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Up to this many ids go to every executor with a scan (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to this many rows, and bytes in them, go to every executor with a scan; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def small_or_shuffled(ids: DataFrame) -> DataFrame:
-    """ids for the right side of a join with texts: broadcast if a count proves them few, else as they are."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    """ids for the right side of a join with texts: broadcast if a count proves them few and short, else as they are."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in ids.dtypes]
+    size = sum(sizes, F.lit(0)).cast("long")
+    found = ids.limit(BROADCAST_IDS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(ids) if found["n"] <= BROADCAST_IDS and found["bytes"] <= BROADCAST_BYTES else ids
 
 
 #: A row's number in a spooled table; ids may repeat or be null.
