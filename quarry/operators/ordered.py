@@ -68,7 +68,7 @@ def with_previous(rows: DataFrame, columns: list[str], group: list[str] = ()) ->
 
 def ranked_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """df with pos (over all) and place, the 0-based place within the group; a hot group is spread like any other."""
-    rows = spool(ranked(df, [*group, *order]))
+    rows = ranked(df, [*group, *order])  # its rows are written down already, their places are one addition away
     first = spool(rows.groupBy(*group).agg(F.min("pos").alias("__first"))).select(*(F.col(c).alias(f"__{c}") for c in group), "__first")
     same: Column = F.lit(True)
     for c in group:
