@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fold_case
-from quarry.operators.segment import contexts
 
 #: Bits per byte above which a block counts as dense, and the least sample that can (fixed values).
 DENSE_BITS, LEAST_SAMPLE, SAMPLE = 7.60, 4096, 65536
@@ -59,9 +58,79 @@ def is_dense(bits: Column, n_sampled: Column) -> Column:
     return (n_sampled >= LEAST_SAMPLE) & (bits > DENSE_BITS)
 
 
+#: Windows counted at once, and distinct ones that a task remembers before it gives their counts (memory, not results).
+WINDOWS, REMEMBERED = 1 << 20, 1 << 20
+
+
 def context_counts(df: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """ctx, byte, n over all texts, contexts never crossing from one to the next."""
-    return contexts(df, k, text).groupBy("ctx", "byte").agg(F.count(F.lit(1)).alias("n"))
+    """ctx, byte, n over all texts, contexts never crossing from one to the next.
+
+    Texts are counted where they lie. What moves is a task's distinct windows of k + 1 bytes, as numbers where they
+    have eight bytes at most.
+    """
+    source = df.where(F.octet_length(text) > k).select(F.encode(text, "UTF-8").alias("body"))
+    packed = k < 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            seen = pa.array(held[0].view(np.int64)) if packed else pa.array(held[0].tolist(), pa.binary())
+            return pa.RecordBatch.from_arrays([seen, pa.array(held[1])], names=["seen", "n"])
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for batch in batches:
+            body = batch.column(0)
+            if not len(body):
+                continue
+            _, offsets, data = body.buffers()
+            wide = np.int64 if pa.types.is_large_binary(body.type) else np.int32
+            ends = np.frombuffer(offsets, wide)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+            data, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+            for at in range(0, len(data) - k, WINDOWS):
+                windows = _windows(data[at : at + WINDOWS + k], k)
+                inner = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + WINDOWS + k)] - at
+                whole = np.ones(len(windows), bool)
+                for i in range(1, k + 1):  # those that begin i bytes before a text's end go beyond it
+                    crossing = inner - i
+                    whole[crossing[(crossing >= 0) & (crossing < len(windows))]] = False
+                parts.append(_tallied(windows[whole]))
+                waiting += len(parts[-1][0])
+                if waiting > 2 * REMEMBERED:
+                    parts = [_tallied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+                    waiting = len(parts[0][0])
+                    if waiting > REMEMBERED:
+                        yield given(parts[0])
+                        parts, waiting = [], 0
+        if parts:
+            yield given(_tallied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
+
+    found = source.mapInArrow(run, f"seen {'long' if packed else 'binary'}, n long").groupBy("seen").agg(F.sum("n").alias("n"))
+    digits = F.lpad(F.hex("seen"), 2 * k + 2, "0")
+    return found.select(F.substring(digits, 1, 2 * k).alias("ctx"), F.substring(digits, 2 * k + 1, 2).alias("byte"), "n")
+
+
+def _windows(data: np.ndarray, k: int) -> np.ndarray:
+    """All windows of k + 1 bytes, as numbers where they fit into 64 bits."""
+    if k < 8:
+        out = np.zeros(len(data) - k, np.uint64)
+        for i in range(k + 1):
+            out = out << np.uint64(8) | data[i : len(data) - k + i]
+        return out
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k + 1)).view(f"V{k + 1}").ravel()
+
+
+def _tallied(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often they stand there."""
+    if counts is None and values.dtype == np.uint64:
+        values = np.sort(values)
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+        return values[starts], np.diff(starts, append=len(values))
+    distinct, where = np.unique(values, return_inverse=True)
+    if counts is None:
+        return distinct, np.bincount(where, minlength=len(distinct))
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, where, counts)
+    return distinct, total
 
 
 def conditional_entropy(counts: DataFrame) -> DataFrame:
@@ -71,10 +140,13 @@ def conditional_entropy(counts: DataFrame) -> DataFrame:
 
 
 def certain(counts: DataFrame, least: int = 15) -> DataFrame:
-    """ctx, byte, n, n_ctx of contexts seen least times or more whose byte is all but settled."""
-    totals = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))
-    found = counts.join(totals, "ctx").where(F.col("n_ctx") >= least)
-    return found.where(F.col("n") * 4096 > F.col("n_ctx") * 3968)
+    """ctx, byte, n, n_ctx of contexts seen least times or more whose byte is all but settled.
+
+    Such a byte has more than half of its context's count, so it is the one with the largest.
+    """
+    most = F.max(F.struct("n", "byte")).alias("most")
+    found = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"), most).where(F.col("n_ctx") >= least)
+    return found.select("ctx", "most.byte", "most.n", "n_ctx").where(F.col("n") * 4096 > F.col("n_ctx") * 3968)
 
 
 def certain_at_both(short: DataFrame, long: DataFrame, k: int) -> DataFrame:

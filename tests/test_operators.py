@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +241,25 @@ def test_mirror_counters_of_long_lines(spark):
                 held = held + 1 if x == y else 0
     got = {(r["class"], r.hold): (r.n, r.agreed) for r in twins.mirror_counters(docs).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 8, 11])
+def test_contexts_are_counted_where_they_lie(spark, k, monkeypatch):
+    """Also in small steps, over the ends of texts and of steps; no row for each byte."""
+    monkeypatch.setattr(density, "WINDOWS", 16)
+    monkeypatch.setattr(density, "REMEMBERED", 20)
+    values = [*EDGES, "abcabcabcabd" * 9, "x" * 200, "\x00\x00" * 12, "\u00ff\U0001f600" * 7, "ab", "abcdefgh", "abcdefghi"]
+    want = Counter(b[i : i + k + 1] for b in ((v or "").encode() for v in values) for i in range(len(b) - k))
+    counts = density.context_counts(texts(spark, *values).repartition(2), k)
+    assert "Generate" not in counts._jdf.queryExecution().toString()
+    assert {(r.ctx + r.byte): r.n for r in counts.collect()} == {w.hex().upper(): n for w, n in want.items()}
+    of = Counter()
+    for w, n in want.items():
+        of[w[:k]] += n
+    sure = {(w.hex().upper(), n, of[w[:k]]) for w, n in want.items() if of[w[:k]] >= 15 and n * 4096 > of[w[:k]] * 3968}
+    assert {(r.ctx + r.byte, r.n, r.n_ctx) for r in density.certain(counts).collect()} == sure and (k > 3 or sure)
+
+
+def test_certain_contexts_read_texts_once(spark, sf_dir):
+    plan = density.certain(density.context_counts(storage.table(spark, sf_dir, "documents"), 6))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan
