@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.storage import cut, shared_dir, spool
 
-__all__ = ["cut", "discard", "fold", "has_unique", "is_held_out", "numbered", "per_row", "shared_dir", "small_or_shuffled", "spool", "without"]
+__all__ = ["cut", "discard", "fold", "has_unique", "is_held_out", "numbered", "per_row", "released", "shared_dir", "short_batches", "small_or_shuffled", "spool", "without"]
 
 #: Rows turned into Python objects at once; bounds a worker's memory when texts are long.
 SLICE_ROWS = 64
 
 
+#: Rows of an Arrow batch of whole texts: it is held in the JVM and in Python at once, in every running task.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside give Python batches of BATCH_ROWS rows at most. The size changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives what it has freed back to the system: it may wait for its next task for long."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return lean
+
+
 def discard(spooled: DataFrame) -> None:
     """Deletes the files of a spooled table that no later step reads."""
     context = spooled.sparkSession.sparkContext

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ROW, SLICE_ROWS, cut, discard, fold, has_unique, numbered, small_or_shuffled, spool, without
+from quarry.llm.common import ROW, SLICE_ROWS, cut, discard, fold, has_unique, numbered, released, short_batches, small_or_shuffled, spool, without
 from quarry.llm.graph import components
 
 #: Bits of the sketch that candidates carry: the power of two from the set's size upwards, this at least.
@@ -43,6 +43,8 @@ BAND = 2.5
 SPARE = 1.25
 #: Sets whose keys a task remembers to have given; more copies than needed change no result.
 REMEMBERED = 200_000
+#: Words whose hashes a task remembers.
+WORDS = 50_000
 #: Rows of a block; a pair of blocks is compared in one task.
 BLOCK = 4096
 
@@ -94,7 +96,7 @@ class Sketcher:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > 200_000:
+        if len(known) > WORDS:
             known.clear()
         for w in words:
             if w not in known:
@@ -169,7 +171,7 @@ def _sketched(docs: DataFrame, measure: Measure) -> DataFrame:
                     schema=out,
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, node long, check long, n_shingles long, short binary, keys array<long>")
+    return docs.mapInArrow(released(run), f"doc_id {id_type.simpleString()}, node long, check long, n_shingles long, short binary, keys array<long>")
 
 
 def _name(hashes: np.ndarray) -> tuple[int, int] | tuple[None, None]:
@@ -197,13 +199,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
                 rows = [(i, s.view(np.int64)) for i, *name, s in zip(num, node, check, map(sketcher.shingles, text), strict=True) if _name(s) == tuple(name)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=out)
 
-    return chosen.mapInArrow(run, "num long, hashes array<long>")
+    return chosen.mapInArrow(released(run), "num long, hashes array<long>")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     """The pairs(a, b) of numbers whose sets are similar enough; nodes(num, node, check, doc_id)."""
     ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
-    sets = spool(_sets(docs, cut(nodes.join(ends, "num", "left_semi").select("num", "node", "check", "doc_id")), measure).dropDuplicates(["num"]))
+    wanted = cut(nodes.join(ends, "num", "left_semi").select("num", "node", "check", "doc_id"))
+    with short_batches(docs.sparkSession):
+        sets = spool(_sets(docs, wanted, measure).dropDuplicates(["num"]))
     one, two = (sets.select(F.col("num").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     held = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
@@ -230,7 +234,7 @@ def _near(pairs: DataFrame, measure: Measure) -> DataFrame:
                 ok[at] = _may_link(n_a[at], n_b[at], distance, measure)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in "ab"], schema=out)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(released(run), "a long, b long")
 
 
 def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -289,7 +293,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
         if held is not None and not done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], schema=out)
 
-    return ordered.mapInArrow(run, "key long, node long, check long")
+    return ordered.mapInArrow(released(run), "key long, node long, check long")
 
 
 def _across(rows: DataFrame, measure: Measure) -> DataFrame:
@@ -310,7 +314,7 @@ def _across(rows: DataFrame, measure: Measure) -> DataFrame:
             found = _compared(t, measure)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -372,7 +376,8 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     """
     measure = Measure(width, num, den)
     docs = fold(docs, id_col, text_col)
-    table = spool(_sketched(docs, measure))
+    with short_batches(docs.sparkSession):
+        table = spool(_sketched(docs, measure))
     name = ["node", "check"]
     some = table.where("n_shingles > 0")
     nodes = some.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, is_held_out, per_row
+from quarry.llm.common import SLICE_ROWS, is_held_out, per_row, released
 
 #: Places for hashed words; the statistics follow them.
 WORD_PLACES = 1 << 14
@@ -199,4 +199,4 @@ def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.
                 lengths = part.column(n_chars_col).to_pylist() if has_n_chars else [None] * len(texts)
                 yield part.filter(pa.array([model.score(*features(t, n, places)) >= threshold for t, n in zip(texts, lengths, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

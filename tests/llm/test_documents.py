@@ -7,7 +7,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, graph, language_id, license_scan, near_join, quality_model, quality_rules, queries, url_filter
+from quarry.llm import common, exact_dedup, graph, language_id, license_scan, near_join, quality_model, quality_rules, queries, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -468,3 +468,20 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.collect()} == ids
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_jaccard_join_holds_few_texts_at_once(spark, monkeypatch):
+    """Its jobs over whole texts give Python short batches; the session's own size holds again afterwards."""
+    name, sizes, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_join.spool
+    before = spark.conf.get(name)
+
+    def noted(df):
+        if "text#" in df._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            sizes.append(int(spark.conf.get(name)))
+        return write(df)
+
+    monkeypatch.setattr(near_join, "spool", noted)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 2 :])) for i in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in near_join.near_groups(docs).collect()} == {0}
+    assert sizes and max(sizes) <= common.BATCH_ROWS and spark.conf.get(name) == before
